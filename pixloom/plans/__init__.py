@@ -1,0 +1,10 @@
+"""Registered queries by subject."""
+
+from importlib import import_module
+
+MODULES = ("statistics",)
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"pixloom.plans.{name}")
