@@ -597,6 +597,20 @@ def render_samples(lineage: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
+def cycle_class(index: Column, seed: int) -> Column:
+    """Class of a slot in the shuffled 15-slot cycle."""
+    slots = [c for c, n in CLASS_CYCLE.items() for _ in range(n)]
+    shuffled = F.array_sort(
+        F.array(
+            *[
+                F.struct(uniform(seed, "cycle", F.lit(i)).alias("o"), F.lit(c).alias("c"))
+                for i, c in enumerate(slots)
+            ]
+        )
+    )
+    return F.get(shuffled, (index % len(slots)).cast("int"))["c"]
+
+
 def class_cycle_dataset(
     images: DataFrame,
     length: int,
@@ -614,15 +628,6 @@ def class_cycle_dataset(
     one row per filled index, number of unfilled indices).
     """
     spark = images.sparkSession
-    slots = [c for c, n in CLASS_CYCLE.items() for _ in range(n)]
-    shuffled = F.array_sort(
-        F.array(
-            *[
-                F.struct(uniform(seed, "cycle", F.lit(i)).alias("o"), F.lit(c).alias("c"))
-                for i, c in enumerate(slots)
-            ]
-        )
-    )
     sources = blocked_rank(
         images.select(F.col("image_id").alias("source_index")).where(
             ~F.col("image_id").isin(*excluded)
@@ -639,7 +644,7 @@ def class_cycle_dataset(
     for _ in range(max_rounds):
         attempts = (
             todo.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))))
-            .withColumn("target_class", shuffled[(F.col("index") % len(slots)).cast("int")]["c"])
+            .withColumn("target_class", cycle_class(F.col("index"), seed))
             .withColumn("sample_id", F.concat_ws("-", F.col("index"), F.col("attempt")))
             .withColumn("place", draw_index(seed, "source", n_sources, F.col("sample_id")) + 1)
         )

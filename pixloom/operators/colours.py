@@ -12,6 +12,7 @@ from pixloom.functions import colour
 from pixloom.operators.pixels import MASK_RULES, in_mask, with_hsv, with_lch
 from pixloom.operators.scale import exact_medians
 from pixloom.operators.stats import histogram
+from pixloom.session import cut_lineage
 
 LCH = ("l", "c", "h")
 
@@ -152,6 +153,8 @@ def balance_phases(pixels: DataFrame, ruler: Column, region: Column, reference:
     whites = frame.join(whites, "image_id", "left").fillna(
         {f"white_{n}": v for n, v in zip("xyz", fallback, strict=True)}
     )
+    # One row per image, read by every pass below: kept instead of measured again.
+    whites = cut_lineage(whites)
     after = white_balance(tagged, whites, reference).withColumn("phase", F.lit("after"))
     before = tagged.withColumn("phase", F.lit("before"))
     both = before.unionByName(after)

@@ -59,6 +59,10 @@ def to_pixels(images: DataFrame, planes: Sequence[str] | None = None) -> DataFra
 def to_images(pixels: DataFrame, planes: Sequence[str]) -> DataFrame:
     """Back to planar rows. A group is one image, whose size a single file bounds."""
     packed = F.array_sort(F.collect_list(F.struct("row", "col", *planes)))
+
+    def plane(name: str):
+        return F.transform("px", lambda s: s[name].cast("float")).alias(name)
+
     return (
         pixels.groupBy("image_id")
         .agg(
@@ -70,10 +74,7 @@ def to_images(pixels: DataFrame, planes: Sequence[str]) -> DataFrame:
             "image_id",
             "height",
             "width",
-            *[
-                F.transform("px", lambda s, name=p: s[name].cast("float")).alias(p)
-                for p in planes
-            ],
+            *[plane(p) for p in planes],
         )
     )
 

@@ -80,10 +80,10 @@ def export_trials(
 def random_batch(df: DataFrame, n: int, seed: int, id_column: str, id_block: int = 4096):
     """``n`` uniform draws with replacement, by drawn row numbers and an equi-join."""
     numbered = blocked_rank(
-        df, [], [("b", F.floor(F.col(id_column) / id_block))], [id_column], "__rn"
+        df, [], [("b", F.floor(F.col(id_column) / id_block))], [id_column], "__place"
     )
     size = df.agg(F.count(F.lit(1))).scalar()
     draws = df.sparkSession.range(n).select(
-        F.col("id").alias("draw"), (draw_index(seed, "batch", size, F.col("id")) + 1).alias("__rn")
+        F.col("id").alias("draw"), (draw_index(seed, "batch", size, F.col("id")) + 1).alias("__place")
     )
-    return draws.join(numbered, "__rn").drop("__rn")
+    return draws.join(numbered, "__place").drop("__place")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("statistics",)
+MODULES = ("statistics", "records", "shapes")
 
 
 def load_all() -> None:

@@ -62,28 +62,27 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     def plane(shift: int, f):
         return F.transform(steps, lambda i: f(F.get("e", (i + shift) % CELLS)))
 
+    def weight(c: str):
+        factor = 2.0 if c == "background" else 1.0
+        return plane(CLASS_SHIFT[c], lambda x: F.exp(x * 6.0) * factor).alias(f"w_{c}")
+
     channels = [
         plane(s, lambda x: clamp(x + 0.5, 0.0, 1.0)).alias(c) for c, s in CHANNEL_SHIFT.items()
     ]
-    weights = [
-        plane(s, lambda x, k=(2.0 if c == "background" else 1.0): F.exp(x * 6.0) * k).alias(
-            f"w_{c}"
-        )
-        for c, s in CLASS_SHIFT.items()
-    ]
-    wide = base.select("image_id", *channels, *weights)
+    wide = base.select("image_id", *channels, *[weight(c) for c in S.CLASSES])
     zipped = F.arrays_zip(*[F.col(f"w_{c}") for c in S.CLASSES])
+
+    def share(c: str):
+        return F.transform(
+            zipped, lambda z: z[f"w_{c}"] / sum(z[f"w_{k}"] for k in S.CLASSES)
+        ).alias(S.p_col(c))
+
     return wide.select(
         "image_id",
         F.lit(SIDE).alias("height"),
         F.lit(SIDE).alias("width"),
         *CHANNEL_SHIFT,
-        *[
-            F.transform(
-                zipped, lambda z, c=c: z[f"w_{c}"] / sum(z[f"w_{k}"] for k in S.CLASSES)
-            ).alias(S.p_col(c))
-            for c in S.CLASSES
-        ],
+        *[share(c) for c in S.CLASSES],
     )
 
 

@@ -11,6 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
+# Added before rounding: averages of short decimals often lie exactly on a tie, which
+# summation order would break either way.
+NUDGE = 1.3e-9
 
 
 def query(name: str, sql: str | None = None):
@@ -26,9 +29,9 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, negative zero removed."""
+    """Doubles to six digits, ties nudged up, negative zero removed."""
     changes = {
-        f.name: F.round(F.col(f.name), DIGITS) + F.lit(0.0)
+        f.name: F.round(F.col(f.name) + NUDGE, DIGITS) + F.lit(0.0)
         for f in df.schema.fields
         if f.dataType.typeName() == "double"
     }
@@ -37,7 +40,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def rnd(expr: str) -> str:
     """The same rounding in SQL."""
-    return f"(round(({expr})::DOUBLE, {DIGITS}) + 0.0::DOUBLE)"
+    return f"(round(({expr})::DOUBLE + {NUDGE}::DOUBLE, {DIGITS}) + 0.0::DOUBLE)"
 
 
 def rnd_as(*names: str, source: str = "") -> str:

@@ -760,7 +760,8 @@ def stacked_composition(spark, sf):
     "parameter_histograms",
     f"""WITH {X.LINEAGE}, v AS (SELECT 'rotation_angle' AS parameter, rotation_angle AS v, 36 AS k
       FROM lineage UNION ALL SELECT 'size_multiplier', size_multiplier, 4 FROM lineage),
-    lim AS (SELECT parameter, k, min(v) AS lo, (max(v) - min(v)) / k AS w FROM v GROUP BY ALL),
+    lim AS (SELECT parameter, min(k) AS k, min(v) AS lo, (max(v) - min(v)) / min(k) AS w
+      FROM v GROUP BY parameter),
     n AS (SELECT v.parameter, least(floor((v - lo) / w), v.k - 1)::INT AS bin, count(*) AS n
       FROM v JOIN lim USING (parameter) GROUP BY ALL),
     f AS (SELECT parameter, lo, w, unnest(range(k))::INT AS bin FROM lim)
