@@ -204,12 +204,8 @@ def edit_polygons(polygons: DataFrame, changes: DataFrame) -> tuple[DataFrame, D
     top = ids.groupBy(*image).agg(F.max("id").alias("__top"))
 
     adds = changes.where(F.col("action") == "add")
-    taken = ids.select(*image, F.col("id").alias("__taken"))
-    adds = adds.join(
-        taken,
-        (adds["image_id"] == taken["image_id"]) & (adds["id"] == taken["__taken"]),
-        "left",
-    ).drop(taken["image_id"])
+    taken = ids.select(*image, "id", F.lit(True).alias("__taken"))
+    adds = adds.join(taken, [*image, "id"], "left")
     first_ask = F.row_number().over(W.partitionBy("image_id", "id").orderBy("seq")) == 1
     adds = adds.withColumn(
         "__keep", F.col("id").isNotNull() & F.col("__taken").isNull() & first_ask

@@ -137,9 +137,12 @@ def match_nearest_greedy(markers: DataFrame, targets: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=names)
 
     kind = markers.schema["image_id"].dataType.simpleString()
+    keyed = targets.select(
+        F.col("image_id").alias("target_image"), "target", "target_row", "target_col"
+    )
     return (
         markers.groupBy("image_id")
-        .cogroup(targets.groupBy("image_id"))
+        .cogroup(keyed.groupBy("target_image"))
         .applyInPandas(pair, _PAIR.format(id=kind))
     )
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("statistics", "records", "shapes")
+MODULES = ("statistics", "records", "shapes", "sampling", "streams")
 
 
 def load_all() -> None:

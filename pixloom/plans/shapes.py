@@ -268,8 +268,8 @@ def find_components(spark, sf):
     coalesce(num, 0) AS num_components, coalesce(n, 0)::BIGINT AS size,
     {rnd('coalesce(n, 0) / 64 * 100')} AS white_pct, {rnd('coalesce(aspect_ratio, 0)')} AS aspect_ratio,
     {rnd('coalesce(density, 0)')} AS density, {rnd('coalesce(th, 0)')} AS angle,
-    {rnd('greatest(2, least(8, cy + a1 * sin(th) + b1 * cos(th)))')} AS corner_row,
-    {rnd('greatest(1, least(7, cx + a1 * cos(th) - b1 * sin(th)))')} AS corner_col
+    {rnd('CASE WHEN n > 0 THEN greatest(2, least(8, cy + a1 * sin(th) + b1 * cos(th))) END')} AS corner_row,
+    {rnd('CASE WHEN n > 0 THEN greatest(1, least(7, cx + a1 * cos(th) - b1 * sin(th))) END')} AS corner_col
     FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN cnt USING (image_id)
     LEFT JOIN sc USING (image_id)""",
 )
