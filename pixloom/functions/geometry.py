@@ -49,7 +49,8 @@ def point_in_polygon(x: Column, y: Column, vertices: Column) -> Column:
 
     def crosses(inside: Column, e: Column) -> Column:
         straddles = (e["y1"] > y) != (e["y2"] > y)
-        cut = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+        # A level edge has no cut; it never straddles either.
+        cut = F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
         return F.when(straddles & (x < cut), ~inside).otherwise(inside)
 
     return F.when(n < 3, F.lit(False)).otherwise(F.aggregate(edges, F.lit(False), crosses))

@@ -54,8 +54,9 @@ def softmax(logits: Sequence[Column]) -> list[Column]:
 
 
 def min_max_scale(value: Column, lo, hi) -> Column:
-    """To [-1, 1]."""
-    return ((value - lo) / (hi - lo) - 0.5) * 2.0
+    """To [-1, 1]; a list of one value maps to 0."""
+    lo, hi = (v if isinstance(v, Column) else F.lit(v) for v in (lo, hi))
+    return (F.coalesce(F.try_divide(value - lo, hi - lo), F.lit(0.5)) - 0.5) * 2.0
 
 
 def denormalise(value: Column, lo, hi) -> Column:

@@ -479,7 +479,7 @@ def balanced_dataset(
 ) -> tuple[DataFrame, list[dict]]:
     """(lineage of the accepted samples in shuffled order, log of the rounds).
 
-    Candidates are made in rounds, a little more than each class still lacks;
+    Candidates are made in rounds, as many as the acceptance seen so far suggests;
     the gate keeps the good ones and the lowest attempt numbers fill the quota.
     The result does not depend on partitioning. A class stops when its quota is
     full or after ``attempt_factor`` times its quota. Only per-class counts come
@@ -491,13 +491,15 @@ def balanced_dataset(
     if intervals.isEmpty():
         raise ValueError("every source is excluded")
     lacking = {c: int(n) for c, n in counts.items() if n > 0}
-    used = dict.fromkeys(lacking, 0)
+    used, passed = dict.fromkeys(lacking, 0), dict.fromkeys(lacking, 0)
     stages, log = [], []
     while lacking:
         plan = {}
         for c, n in lacking.items():
             room = attempt_factor * int(counts[c]) - used[c]
-            plan[c] = (used[c], min(room, max(8, int(n * oversample))))
+            rate = passed[c] / used[c] if used[c] else 1.0
+            wanted = n * oversample / max(rate, 1.0 / attempt_factor)
+            plan[c] = (used[c], min(room, max(8, int(wanted))))
         attempts = _candidates(spark, plan).withColumn(
             "u", uniform(seed, "source", F.col("sample_id"))
         )
@@ -518,6 +520,9 @@ def balanced_dataset(
             ["attempt"],
             "place",
         )
+        rates = good.groupBy("target_class").agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in rates:
+            passed[r["target_class"]] += r["n"]
         need = class_value(lacking, F.col("target_class"), 0.0)
         stage = cut_lineage(ranked.where(F.col("place") <= need).drop("place"))
         found = {
@@ -677,7 +682,7 @@ def class_cycle_dataset(
         )
         own = F.sum(_p_of(F.col("target_class")))
         share = patch.groupBy("sample_id").agg(
-            (own / (own + F.sum("p_background"))).alias("class_share")
+            F.try_divide(own, own + F.sum("p_background")).alias("class_share")
         )
         passed = framed.join(share.where(F.col("class_share") >= minimum_share), "sample_id")
         fields = [c for c in passed.columns if c != "index"]

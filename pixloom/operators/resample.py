@@ -227,9 +227,15 @@ def crop(images: DataFrame, planes: Sequence[str], keep: Sequence[str]) -> DataF
             )
         ).alias(p)
 
-    return images.select(
+    # The planes are cut before the sizes are renamed: both are called "width".
+    cut_planes = images.select(
+        *keep,
+        *[F.col(c) for c in ("crop_h", "crop_w") if c not in keep],
+        *[cut(p) for p in planes],
+    )
+    return cut_planes.select(
         *keep,
         F.col("crop_h").cast("int").alias("height"),
         F.col("crop_w").cast("int").alias("width"),
-        *[cut(p) for p in planes],
+        *planes,
     )

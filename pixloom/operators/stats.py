@@ -54,7 +54,7 @@ def class_area_stats(pixels: DataFrame) -> DataFrame:
         "e.total_area",
         "e.mean_area",
         "e.std_area",
-        (F.col("e.mean_area") / F.col("mean_total")).alias("normalised"),
+        F.try_divide(F.col("e.mean_area"), F.col("mean_total")).alias("normalised"),
         "total_pixels",
         "n_images",
     )

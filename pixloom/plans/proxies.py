@@ -86,6 +86,26 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MASK_LEVEL = 0.25
+
+
+def mask_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images with hard class masks, as annotated pictures have them."""
+    df = images(spark, sf_dir)
+
+    def hard(name: str):
+        return F.transform(name, lambda v: F.when(v > MASK_LEVEL, 1.0).otherwise(0.0))
+
+    return df.withColumns({p: hard(p) for p in S.P_COLUMNS})
+
+
+def mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = pixels(spark, sf_dir)
+    return df.withColumns(
+        {p: F.when(F.col(p) > MASK_LEVEL, 1.0).otherwise(0.0) for p in S.P_COLUMNS}
+    )
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ledger rows."""
     return table(spark, sf_dir, "events").select(
@@ -174,7 +194,7 @@ def telemetry(events: DataFrame) -> DataFrame:
     """Events as observations of one run per event type."""
     return events.select(
         F.col("event_type").alias("run_id"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.lit("observation").alias("kind"),
         F.col("value").alias("error"),
         (F.col("value") * 10.0).alias("absolute_performance"),

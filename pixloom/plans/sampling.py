@@ -177,7 +177,7 @@ def crop_first_variant(spark, sf):
 
 def balanced(spark, sf):
     """Lineage of a balanced dataset as large as the number of source images."""
-    images, px = X.images(spark, sf), X.pixels(spark, sf)
+    images, px = X.mask_images(spark, sf), X.mask_pixels(spark, sf)
     profile = stats.source_profile(px)
     total = images.agg(F.count(F.lit(1)).alias("total"))
     counts = {r["class"]: r["count"] for r in A.quota(total).collect()}
@@ -201,7 +201,7 @@ def balanced(spark, sf):
 def balanced_dataset(spark, sf):
     """The draws are hashes, so quotas and the gate are what SQL can state."""
     lineage = balanced(spark, sf)
-    profile = stats.source_profile(X.pixels(spark, sf))
+    profile = stats.source_profile(X.mask_pixels(spark, sf))
     gated = A.quality_gate(lineage, profile)
     return gated.groupBy("target_class").agg(
         F.count(F.lit(1)).alias("samples"), F.bool_and("accepted").alias("gate_held")
@@ -212,7 +212,7 @@ def balanced_dataset(spark, sf):
 def balanced_samples(spark, sf):
     """Rows only: the rendered patches of the balanced dataset, one row per sample."""
     lineage = balanced(spark, sf)
-    px = A.render_samples(lineage, X.images(spark, sf))
+    px = A.render_samples(lineage, X.mask_images(spark, sf))
     return rounded(
         px.groupBy("sample_id", "target_class").agg(
             F.count(F.lit(1)).alias("pixels"), F.avg("r").alias("mean_r"),
@@ -227,7 +227,7 @@ def balanced_samples(spark, sf):
 )
 def class_cycle_dataset(spark, sf):
     """One sample per source image; every slot fills, none below the share, none excluded."""
-    images = X.images(spark, sf)
+    images = X.mask_images(spark, sf)
     n = images.count()
     out, _ = A.class_cycle_dataset(images, n, 41, (4, 4))
     return out.agg(
