@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixloom import schema as S
 from pixloom.functions.scalars import clamp
@@ -18,8 +19,15 @@ CHANNEL_SHIFT = {"r": 0, "g": 21, "b": 42}
 CLASS_SHIFT = {"scar": 7, "redness": 15, "hematoma": 29, "necrosis": 37, "background": 51}
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table; the schema of a path is read from its footers once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
