@@ -120,9 +120,20 @@ def adapt_colour(xyz: Sequence[Column], src: Sequence[Column], ref: Sequence[Col
     return mat_vec(BRADFORD_INVERSE, [c * k for c, k in zip(cone, gain, strict=True)])
 
 
-def rgb_gain_matrix(src: Sequence[Column], ref: Sequence[Column]) -> list[list[Column]]:
-    """Linear-RGB to linear-RGB matrix, folded once per image: XYZ_TO_SRGB * M * SRGB_TO_XYZ."""
-    return mat_mul(mat_mul(XYZ_TO_SRGB, bradford_matrix(src, ref)), SRGB_TO_XYZ)
+# Linear RGB to cone space and back, folded once.
+_TO_CONE = mat_mul(BRADFORD, SRGB_TO_XYZ)
+_FROM_CONE = mat_mul(XYZ_TO_SRGB, BRADFORD_INVERSE)
+
+
+def rgb_gain_matrix(gain: Sequence[Column]) -> list[list[Column]]:
+    """Linear-RGB to linear-RGB matrix of three cone gains; all else is constant."""
+    return [
+        [
+            sum((_FROM_CONE[i][k] * _TO_CONE[k][j]) * gain[k] for k in range(3))
+            for j in range(3)
+        ]
+        for i in range(3)
+    ]
 
 
 def white_balance_rgb(rgb: Sequence[Column], matrix) -> list[Column]:

@@ -122,16 +122,21 @@ def white_balance(
 ) -> DataFrame:
     """Adapt each image from its own white to the reference white.
 
-    The nine matrix entries are computed once per image on the small white table
-    and joined to the pixels by image.
+    Three gains, then nine matrix entries, are computed once per image on the small
+    white table and joined to the pixels by image.
     """
     src = [F.col(f"white_{n}") for n in "xyz"]
     if preserve_luminance:
         src = colour.normalise_white(*src)
     ref = [F.lit(v) for v in colour.ILLUMINANTS[reference]]
-    matrix = colour.rgb_gain_matrix(src, ref)
+    gain = ["__k0", "__k1", "__k2"]
+    gains = whites.select(
+        "image_id",
+        *[k.alias(n) for k, n in zip(colour.bradford_scale(src, ref), gain, strict=True)],
+    )
+    matrix = colour.rgb_gain_matrix([F.col(n) for n in gain])
     names = [[f"__m{i}{j}" for j in range(3)] for i in range(3)]
-    table = whites.select(
+    table = gains.select(
         "image_id", *[matrix[i][j].alias(names[i][j]) for i in range(3) for j in range(3)]
     )
     joined = pixels.join(table, "image_id")
