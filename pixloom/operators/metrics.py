@@ -10,49 +10,61 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixloom.functions.scalars import softmax
-
 # Fixed value: spacing of 32-bit floats at one.
 EPSILON = 2.0**-23
 
 
-def _parts(n: int):
-    logits = [F.col("logits")[i] for i in range(n)]
-    truth = [F.col("truth")[i] for i in range(n)]
-    return softmax(logits), truth
+def _scored(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """Softmax probabilities ``__p0..`` and truths ``__y0..``.
+
+    One projection per step: each value is used several times by the next step, so
+    the exponentials are computed once per pixel and class.
+    """
+    truth = [f"__y{i}" for i in range(n)]
+    raw = df.select(
+        *keys,
+        *[F.col("logits")[i].alias(f"__z{i}") for i in range(n)],
+        *[F.col("truth")[i].alias(y) for i, y in enumerate(truth)],
+    )
+    top = F.greatest(*[F.col(f"__z{i}") for i in range(n)])
+    exps = raw.select(
+        *keys, *truth, *[F.exp(F.col(f"__z{i}") - top).alias(f"__e{i}") for i in range(n)]
+    )
+    total = sum(F.col(f"__e{i}") for i in range(n))
+    return exps.select(
+        *keys, *truth, *[(F.col(f"__e{i}") / total).alias(f"__p{i}") for i in range(n)]
+    )
 
 
-def pixel_cross_entropy(
-    n: int, weights: Sequence[float] | None = None, gamma: float | None = None
-) -> Column:
-    """Loss of one pixel: optional class weights and focal exponent."""
-    probabilities, truth = _parts(n)
+def _pixel_loss(n: int, weights: Sequence[float] | None, gamma: float | None) -> Column:
+    """Loss of one scored pixel: optional class weights and focal exponent."""
     weights = [1.0] * n if weights is None else list(weights)
-    if len(weights) != n:
-        raise ValueError("one weight per class")
-    total = None
-    for p, y, w in zip(probabilities, truth, weights, strict=True):
-        term = -y * F.ln(p + EPSILON) * w
-        if gamma is not None:
-            term = term * F.pow(1.0 - p, F.lit(gamma))
-        total = term if total is None else total + term
+    total = F.lit(0.0)
+    for i, w in enumerate(weights):
+        p = F.col(f"__p{i}")
+        term = -F.col(f"__y{i}") * F.ln(p + EPSILON) * w
+        total = total + (term if gamma is None else term * F.pow(1.0 - p, F.lit(gamma)))
     return total
 
 
+def _mean_loss(df, n: int, name: str, keys, weights=None, gamma=None) -> DataFrame:
+    keys = list(keys)
+    scored = _scored(df, n, keys)
+    return scored.groupBy(*keys).agg(F.avg(_pixel_loss(n, weights, gamma)).alias(name))
+
+
 def cross_entropy(df: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(pixel_cross_entropy(n)).alias("cross_entropy"))
+    return _mean_loss(df, n, "cross_entropy", keys)
 
 
 def weighted_cross_entropy(df: DataFrame, weights: Sequence[float], keys: Sequence[str] = ()):
-    loss = pixel_cross_entropy(len(weights), weights)
-    return df.groupBy(*keys).agg(F.avg(loss).alias("weighted_cross_entropy"))
+    return _mean_loss(df, len(weights), "weighted_cross_entropy", keys, weights)
 
 
 def focal_cross_entropy(
     df: DataFrame, weights: Sequence[float], gamma: float = 2.0, keys: Sequence[str] = ()
 ) -> DataFrame:
-    loss = pixel_cross_entropy(len(weights), weights, gamma)
-    return df.groupBy(*keys).agg(F.avg(loss).alias("focal_cross_entropy"))
+    return _mean_loss(df, len(weights), "focal_cross_entropy", keys, weights, gamma)
 
 
 def quadratic_error(df: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -61,37 +73,40 @@ def quadratic_error(df: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFram
     return df.groupBy(*keys).agg(F.sum(total).alias("quadratic_error"))
 
 
-def _outcomes(df: DataFrame, classes: Sequence[str], threshold: float, keys) -> DataFrame:
-    probabilities, truth = _parts(len(classes))
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("class"),
-                (p > threshold).alias("hit"),
-                (y > threshold).alias("real"),
-            )
-            for c, p, y in zip(classes, probabilities, truth, strict=True)
-        ]
-    )
-    return df.select(*keys, F.explode(rows).alias("e")).select(
-        *keys, "e.class", "e.hit", "e.real"
+def _per_class(df, classes, threshold: float, keys, measures) -> DataFrame:
+    """One aggregation over all classes, then one row per class.
+
+    ``measures(hit, real)`` maps output names to aggregates.
+    """
+    keys = list(keys)
+    n = len(classes)
+    flags = _scored(df, n, keys).select(
+        *keys,
+        *[(F.col(f"__p{i}") > threshold).alias(f"__h{i}") for i in range(n)],
+        *[(F.col(f"__y{i}") > threshold).alias(f"__r{i}") for i in range(n)],
     )
+    columns = []
+    for i, c in enumerate(classes):
+        named = measures(F.col(f"__h{i}"), F.col(f"__r{i}"))
+        fields = [F.lit(c).alias("class"), *[v.alias(k) for k, v in named.items()]]
+        columns.append(F.struct(*fields).alias(f"__c{i}"))
+    wide = flags.groupBy(*keys).agg(*columns)
+    rows = F.array(*[F.col(f"__c{i}") for i in range(n)])
+    return wide.select(*keys, F.explode(rows).alias("e")).select(*keys, "e.*")
 
 
 def confusion(
     df: DataFrame, classes: Sequence[str], threshold: float = 0.5, keys: Sequence[str] = ()
 ) -> DataFrame:
-    hit, real = F.col("hit"), F.col("real")
-    return (
-        _outcomes(df, classes, threshold, keys)
-        .groupBy(*keys, "class")
-        .agg(
-            F.count_if(hit & real).alias("tp"),
-            F.count_if(~hit & ~real).alias("tn"),
-            F.count_if(hit & ~real).alias("fp"),
-            F.count_if(~hit & real).alias("fn"),
-        )
-    )
+    def measures(hit, real):
+        return {
+            "tp": F.count_if(hit & real),
+            "tn": F.count_if(~hit & ~real),
+            "fp": F.count_if(hit & ~real),
+            "fn": F.count_if(~hit & real),
+        }
+
+    return _per_class(df, classes, threshold, keys, measures)
 
 
 def iou_loss(
@@ -114,15 +129,12 @@ def iou_loss(
         return counts.select(*keys, "class", loss.alias("iou_loss"))
     if mode != "reference":
         raise ValueError("mode is 'class' or 'reference'")
-    either, both = F.col("hit") | F.col("real"), F.col("hit") & F.col("real")
-    ratio = F.when(both, 1.0).otherwise(0.0)
-    return (
-        _outcomes(df, classes, threshold, keys)
-        .groupBy(*keys, "class")
-        .agg(
-            F.when(F.bool_and(either), F.avg(1.0 - ratio)).otherwise(1.0).alias("iou_loss")
-        )
-    )
+
+    def measures(hit, real):
+        missed = F.avg(F.when(hit & real, 0.0).otherwise(1.0))
+        return {"iou_loss": F.when(F.bool_and(hit | real), missed).otherwise(1.0)}
+
+    return _per_class(df, classes, threshold, keys, measures)
 
 
 def validation_score(
