@@ -147,3 +147,21 @@ def test_mask_lch_of_image_without_mask(spark):
     r = colours.mask_lch(px, F.lit(False)).first()
     assert r["pixel_count"] == 0 and r["l_median"] is None
     assert apply_mask(px, F.lit(False)).agg(F.sum("r")).first()[0] == 0
+
+
+def test_marker_grids(spark):
+    spots = [(r, c) for r in (10.2, 29.8, 50.1) for c in (9.9, 40.2, 69.7)]
+    markers = spark.createDataFrame(
+        [(1, i, r, c) for i, (r, c) in enumerate(spots, start=1)],
+        "image_id int, marker int, centroid_row double, centroid_col double")
+
+    def targets(mode, **kw):
+        rows = warp.canonical_positions(markers, mode, (80, 100), 10.0, **kw).orderBy("target")
+        return [(r["target_row"], r["target_col"]) for r in rows.collect()]
+
+    assert targets("grid_3x3", spacing=20.0) == [(10 + 20 * i, 10 + 20 * j) for i in range(3) for j in range(3)]
+    auto = targets("auto")
+    assert auto[0] == (10, 10) and auto[8] == pytest.approx((49.9, 69.8))
+    assert len(targets("corners_4")) == 4 and len(targets("grid_2x2")) == 4
+    with pytest.raises(ValueError):
+        targets("circle")

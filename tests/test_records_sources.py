@@ -188,3 +188,23 @@ def test_polygon_edits(spark):
     assert {(r["id"], r["class"]) for r in done.collect()} == {
         (2, "scar"), (5, "scar"), (9, "n3"), (10, "n1"), (11, "n2")}
     assert [(r["id"], r["reason"]) for r in rejected.collect()] == [(5, "id not positive")]
+
+
+def test_ingest_reads_every_file_once(spark, tmp_path):
+    from pixloom.streaming import telemetry as T
+
+    inbox = tmp_path / "in" / "image_001"
+    inbox.mkdir(parents=True)
+    blank = np.zeros((2, 2))
+
+    def drain():
+        stream = sources_stream().select("path", "length")
+        return T.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "state")).count()
+
+    def sources_stream():
+        return T.ingest_stream(spark, str(tmp_path / "in"), per_trigger=1)
+
+    (inbox / "image_001_raw_adj.png").write_bytes(png(blank))
+    assert drain() == 1
+    (inbox / "image_001_seg_scar.png").write_bytes(png(blank))
+    assert drain() == 2
