@@ -22,7 +22,7 @@ def _lch_summary(values: DataFrame, keys: Sequence[str]) -> DataFrame:
         values,
         keys,
         {v: f"{v}_median" for v in LCH},
-        {**{f"{v}_mean": F.avg(v) for v in LCH}, "pixel_count": F.count(F.lit(1))},
+        {**{f"{v}_mean": F.avg(v) for v in LCH}, "pixel_count": F.count("l")},
     ).drop(*[f"n_{v}" for v in LCH])
 
 
@@ -63,29 +63,29 @@ def polygon_lch(hits: DataFrame, polygons: DataFrame) -> DataFrame:
 
 def mask_lch(pixels: DataFrame, mask: Column) -> DataFrame:
     """The same under a single mask; the class is named ``polygon_region``."""
-    values = with_lch(pixels.where(mask)).select("image_id", *LCH)
-    frame = pixels.select("image_id").distinct()
-    out = _fill_absent(frame, _lch_summary(values, ["image_id"]), ["image_id"])
-    return out.withColumn("class", F.lit("polygon_region"))
+    # Values off the mask are NULL, so images without a mask keep their row.
+    values = with_lch(pixels).select(
+        "image_id", *[F.when(mask, F.col(v)).alias(v) for v in LCH]
+    )
+    return _lch_summary(values, ["image_id"]).withColumn("class", F.lit("polygon_region"))
 
 
 def hsv_profile(pixels: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Median hue (degrees), saturation and value (percent) of non-black pixels."""
     keys = list(keys)
-    lit_pixels = pixels.where(in_mask("any_over_0", F.col("r"), F.col("g"), F.col("b")))
-    medians = exact_medians(
-        with_hsv(lit_pixels).select(*keys, "hue", "sat", "val"),
-        keys,
-        {"hue": "h_median", "sat": "s_median", "val": "v_median"},
+    is_lit = in_mask("any_over_0", F.col("r"), F.col("g"), F.col("b"))
+    values = with_hsv(pixels).select(
+        *keys, *[F.when(is_lit, F.col(c)).alias(c) for c in ("hue", "sat", "val")]
     )
-    frame = pixels.select(*keys).distinct()
-    joined = frame.join(medians, keys, "left").fillna(0.0)
-    return joined.select(
+    medians = exact_medians(
+        values, keys, {"hue": "h_median", "sat": "s_median", "val": "v_median"}
+    ).fillna(0.0)
+    return medians.select(
         *keys,
         (F.col("h_median") * 360.0).alias("h_median_deg"),
         (F.col("s_median") * 100.0).alias("s_median_pct"),
         (F.col("v_median") * 100.0).alias("v_median_pct"),
-        F.coalesce("n_hue", F.lit(0)).alias("n_pixels"),
+        F.col("n_hue").alias("n_pixels"),
     )
 
 
@@ -93,24 +93,26 @@ def white_point(pixels: DataFrame, rule: str = "any_over_0.01") -> DataFrame:
     """XYZ of the median linear colour per image; images without lit pixels get D65."""
     if rule not in MASK_RULES:
         raise ValueError(f"unknown mask rule {rule}")
-    lit_pixels = pixels.where(in_mask(rule, F.col("r"), F.col("g"), F.col("b"))).select(
+    is_lit = in_mask(rule, F.col("r"), F.col("g"), F.col("b"))
+    values = pixels.select(
         "image_id",
-        *[colour.srgb_to_linear(F.col(c)).alias(f"lin_{c}") for c in S.PIXEL_CHANNELS],
+        *[
+            F.when(is_lit, colour.srgb_to_linear(F.col(c))).alias(f"lin_{c}")
+            for c in S.PIXEL_CHANNELS
+        ],
     )
-    medians = exact_medians(
-        lit_pixels, ["image_id"], {f"lin_{c}": f"m_{c}" for c in S.PIXEL_CHANNELS}
+    out = exact_medians(
+        values, ["image_id"], {f"lin_{c}": f"m_{c}" for c in S.PIXEL_CHANNELS}
     )
     xyz = colour.mat_vec(colour.SRGB_TO_XYZ, [F.col(f"m_{c}") for c in S.PIXEL_CHANNELS])
-    frame = pixels.select("image_id").distinct()
     fallback = colour.ILLUMINANTS["D65"]
-    out = frame.join(medians, "image_id", "left")
     return out.select(
         "image_id",
         *[
             F.coalesce(v, F.lit(d)).alias(f"white_{n}")
             for n, v, d in zip("xyz", xyz, fallback, strict=True)
         ],
-        F.coalesce(F.col("n_lin_r"), F.lit(0)).alias("white_pixels"),
+        F.col("n_lin_r").alias("white_pixels"),
     )
 
 
