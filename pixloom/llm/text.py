@@ -161,3 +161,49 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     begin = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - begin, lengths)
+
+
+class Lookup:
+    """Numbers from 0 of a small set of hashes; -1 for all others."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.order]
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(hashes & U(0xFFFF)).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.sorted):
+            likely = np.flatnonzero(self.maybe[(hashes & U(0xFFFF)).astype(np.int64)])
+            at = np.searchsorted(self.sorted, hashes[likely])
+            at[at == len(self.sorted)] = 0
+            same = self.sorted[at] == hashes[likely]
+            out[likely[same]] = self.order[at[same]]
+        return out
+
+
+def word_hashes(words: list[str], values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """The hashes that ``Words`` gives to these words."""
+    data, offsets = joined(pa.array(words, pa.string()))
+    return Stretch(values[data]).of(offsets[:-1], offsets[1:])
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether each key occurs twice or more."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    same = np.zeros(len(keys) + 1, bool)
+    same[1:-1] = ordered[1:] == ordered[:-1]
+    out = np.zeros(len(keys), bool)
+    out[order] = same[:-1] | same[1:]
+    return out
+
+
+def earlier(keys: np.ndarray) -> np.ndarray:
+    """Whether each key stands at an earlier place too."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] = ordered[1:] == ordered[:-1]
+    return out
