@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("quality", "suffix_dedup", "decontaminate", "divergence")
+MODULES = ("quality", "suffix_dedup", "decontaminate", "divergence", "window_dedup", "jaccard")
 
 
 def query(name: str, sql: str | None = None):

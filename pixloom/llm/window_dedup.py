@@ -39,6 +39,23 @@ class Sketch:
         half = U(self.cells // DEPTH)
         return [(mix(hashes + U(row * 0x9E37 + 11)) % half + U(row) * half).astype(np.int64) for row in range(DEPTH)]
 
+    def add_to(self, total: np.ndarray, hashes: np.ndarray) -> None:
+        """Count into a task's cells, saturating at two."""
+        for at in self.places(hashes):
+            at, count = np.unique(at, return_counts=True)
+            total[at] = np.minimum(2, total[at] + np.minimum(2, count)).astype(np.uint8)
+
+    @staticmethod
+    def blocks(total: np.ndarray):
+        """A task's cells, block by block, as bits of at least one and of at least two."""
+        for block in range(0, len(total), BLOCK_CELLS):
+            part = total[block : block + BLOCK_CELLS]
+            if part.any():
+                both = np.concatenate([np.packbits(part > k, bitorder="little") for k in (0, 1)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block // BLOCK_CELLS], pa.int64()), pa.array([both.tobytes()], pa.binary())], names=["block", "cells"]
+                )
+
     def repeated(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
         for at in self.places(hashes):
@@ -58,32 +75,16 @@ def anchors(words: Words, window: int, gram: int) -> np.ndarray:
     return grams[at]
 
 
-def count_windows(texts: DataFrame, cells: int, window: int, gram: int) -> Sketch:
-    """Sketch of all texts: one per task, cut into blocks, equal blocks added."""
-    sketch = Sketch(cells)
-
-    def fill(batches):
-        total = np.zeros(cells, np.uint8)
-        for batch in batches:
-            data, offsets = joined(batch.column(1))
-            for a, b in chunks(offsets):
-                words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], BLANK_SPLIT)
-                for at in sketch.places(anchors(words, window, gram)):
-                    at, count = np.unique(at, return_counts=True)
-                    total[at] = np.minimum(2, total[at] + np.minimum(2, count)).astype(np.uint8)
-        for block in range(0, cells, BLOCK_CELLS):
-            part = total[block : block + BLOCK_CELLS]
-            if part.any():
-                both = np.concatenate([np.packbits(part > 0, bitorder="little"), np.packbits(part > 1, bitorder="little")])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block // BLOCK_CELLS], pa.int64()), pa.array([both.tobytes()], pa.binary())], names=["block", "cells"]
-                )
+def merge_counts(parts: DataFrame, cells: int) -> Sketch:
+    """Add the tasks' sketches (block, cells), equal blocks together, one at a time in each task."""
 
     def add(batches):
         block, once, twice = None, None, None
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([twice.tobytes()], pa.binary())], names=["block", "cells"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([twice.tobytes()], pa.binary())], names=["block", "cells"]
+            )
 
         for batch in batches:
             for k, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -98,18 +99,29 @@ def count_windows(texts: DataFrame, cells: int, window: int, gram: int) -> Sketc
         if block is not None:
             yield done()
 
-    blocks = (
-        texts.mapInArrow(fill, "block long, cells binary")
-        .repartition("block")
-        .sortWithinPartitions("block")
-        .mapInArrow(add, "block long, cells binary")
-    )
+    blocks = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, cells binary")
     bits = np.zeros(cells // 8, np.uint8)
     for r in blocks.toLocalIterator():  # one bit a cell: 32 MB at most
         bits[r.block * BLOCK_CELLS // 8 : (r.block + 1) * BLOCK_CELLS // 8] = np.frombuffer(r.cells, np.uint8)
     return Sketch(cells, bits)
 
 
+def count_windows(texts: DataFrame, cells: int, window: int, gram: int) -> Sketch:
+    """Sketch of all texts: one per task, cut into blocks, equal blocks added."""
+    sketch = Sketch(cells)
+
+    def fill(batches):
+        total = np.zeros(cells, np.uint8)
+        for batch in batches:
+            data, offsets = joined(batch.column(1))
+            for a, b in chunks(offsets):
+                words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], BLANK_SPLIT)
+                sketch.add_to(total, anchors(words, window, gram))
+        yield from sketch.blocks(total)
+
+    return merge_counts(texts.mapInArrow(fill, "block long, cells binary"), cells)
+
+
 def size_of(texts: DataFrame) -> int:
     """Cells: about four for each anchor, between the two bounds."""
     n = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
