@@ -138,8 +138,8 @@ def removed_spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     def pieces(batches):
         for batch in batches:
-            doc, (data, offsets) = batch.column(0).to_numpy(), joined(batch.column(1))
-            lengths, f = list_columns(batch.column(2))
+            doc, (data, offsets) = batch.column("__doc").to_numpy(), joined(batch.column(text))
+            lengths, f = list_columns(batch.column("__found"))
             owner = np.repeat(np.arange(len(doc)), lengths)
             one = ~f["copy"]
             start, stop = offsets[owner[one]] + f["lo"][one], np.minimum(offsets[owner[one] + 1], offsets[owner[one]] + f["hi"][one] + window)
@@ -170,10 +170,16 @@ def removed_spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 names=["doc", "lo", "hi"],
             )
 
-    cut = texts.join(found, "doc").select("doc", "text", "found").mapInArrow(pieces, PIECES)
+    cut = with_lists(df, found, doc_id).mapInArrow(pieces, PIECES)
     return cut.repartition("key").sortWithinPartitions("key").mapInArrow(compare, SPANS)
 
 
+def with_lists(df: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """Rows that have a list ``__found``. All columns stay, so that ``with_spans`` can use the same shuffle of ``df``."""
+    lists_ = found.select(F.col("doc").alias("__doc"), F.col("found").alias("__found"))
+    return df.withColumn("__doc", doc_key(doc_id)).join(lists_, "__doc")
+
+
 def with_spans(df: DataFrame, spans: DataFrame, doc_id: str) -> DataFrame:
     """Each row with the ranges of its document as a list ``__spans`` (null: none)."""
     ranges = spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
@@ -200,7 +206,7 @@ def remove_repeats(
     each keeping what its first occurrence keeps, so an id must name one text. Columns with the names
     of the results are replaced. ``digest`` gives ``kept_sha256`` in place of text and bytes.
     """
-    df = without(df, [f.name for f in FIELDS] + ["kept_sha256", "__doc", "__spans"])
+    df = without(df, [f.name for f in FIELDS] + ["kept_sha256", "__doc", "__found", "__spans"])
     spans = removed_spans(df, doc_id=doc_id, text=text, window=window, gram=gram)
     both = with_spans(df, spans, doc_id)
     names = [c for c in df.columns if not (digest and c == text)]
