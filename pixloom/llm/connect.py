@@ -44,3 +44,34 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def link_groups(members: DataFrame, accept, fits=None) -> DataFrame:
+    """Components (node, root) of the links among the members of each group.
+
+    ``members`` has key, node, rank and what ``fits(x, y)`` reads with suffixes _x and _y; ``accept``
+    turns pairs (a, b), a < b, into the links among them. First each member is paired with its
+    group's hub (highest rank, then least node), so a group of n gives n - 1 pairs. Only groups left
+    with members of several components are then paired in full across components, so no link is lost
+    and members already joined are not paired again.
+    """
+    columns = [c for c in members.columns if c not in ("key", "rank")]
+
+    def suffixed(df: DataFrame, s: str) -> DataFrame:
+        return df.select("key", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c in (*columns, "root")))
+
+    test = F.lit(True) if fits is None else fits()
+    pair = (F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+    top = members.groupBy("key").agg(F.max("rank").alias("rank"))
+    hubs = members.join(top, ["key", "rank"]).groupBy("key").agg(F.min("node").alias("node"))
+    hub_rows = suffixed(members.join(hubs, ["key", "node"]).distinct(), "y")
+    first = saved(suffixed(members, "x").join(hub_rows, "key").where((F.col("node_x") != F.col("node_y")) & test).select(*pair).distinct(), "pairs")
+    roots = saved(components(accept(first)), "roots")
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    left = saved(placed.join(mixed, "key", "left_semi").select("key", "root", *columns), "left")
+    second = suffixed(left, "x").join(suffixed(left, "y"), "key").where((F.col("root_x") < F.col("root_y")) & test)
+    more = saved(accept(second.select(*pair).distinct().join(first, ["a", "b"], "left_anti")), "links")
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))

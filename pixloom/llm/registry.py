@@ -10,7 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("quality", "suffix_dedup", "decontaminate", "divergence", "window_dedup", "jaccard", "personal")
+MODULES = (
+    "quality",
+    "suffix_dedup",
+    "divergence",
+    "fuzzy_lines",
+    "window_dedup",
+    "decontaminate",
+    "jaccard",
+    "pieces",
+    "personal",
+)
 
 
 def query(name: str, sql: str | None = None):
