@@ -18,6 +18,7 @@ MODULES = (
     "window_dedup",
     "decontaminate",
     "jaccard",
+    "quotes",
     "pieces",
     "personal",
 )
