@@ -10,6 +10,7 @@ from pixloom.operators import augment, cohort, colours, polygons, stats, trials,
 from pixloom.plans import proxies as X
 from pixloom.plans.registry import query, rnd, rnd_as, rounded
 from pixloom.plans.statistics import CLASS_LCH_SQL
+from pixloom.session import scratch_path
 from pixloom.sources import images as sources
 from pixloom.sources import ledger
 
@@ -609,8 +610,10 @@ def polygon_documents(spark, sf):
     )
     docs = ev.select(F.from_json(text, S.POLYGON_DOCUMENT).alias("d")).select("d.*")
     first, _ = ledger.explode_polygons(docs)
-    # Written and read once more, the rows must be the same.
-    again, _ = ledger.explode_polygons(ledger.polygon_documents(first))
+    # Written to files of many documents and read once more, the rows must be the same.
+    path = scratch_path(spark, "polygons")
+    ledger.write_polygons(first, path)
+    again, _ = ledger.read_polygons(spark, path)
     return again.select("image_id", "list_pos", "class_name", "sample_number", "complete")
 
 

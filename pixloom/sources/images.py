@@ -61,13 +61,27 @@ def inventory(
     return named.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
+def _readable() -> Column:
+    size = F.col("image.height") * F.col("image.width") * F.col("image.nChannels")
+    return (F.col("image.nChannels") > 0) & (F.octet_length("image.data") == size) & (size > 0)
+
+
+def unreadable(images: DataFrame) -> DataFrame:
+    """(image_id, reason) of the files that could not be decoded."""
+    bad = images.where(~F.coalesce(_readable(), F.lit(False)))
+    return bad.select("image_id", F.concat(F.lit("unreadable file "), "kind").alias("reason"))
+
+
 def decode_channels(images: DataFrame) -> DataFrame:
-    """Bytes to row-major planes in 0..1; colour bytes come blue first, grey fills all three."""
+    """Bytes to row-major planes in 0..1; colour bytes come blue first, grey fills all three.
+
+    Files that hold no picture are left out; ``unreadable`` lists them.
+    """
     schema = (
         "image_id int, kind string, height int, width int,"
         " r array<float>, g array<float>, b array<float>"
     )
-    flat = images.select(
+    flat = images.where(_readable()).select(
         "image_id", "kind", "image.height", "image.width", "image.nChannels", "image.data"
     )
 
@@ -102,10 +116,11 @@ def load_pairs(
     prefix: str = DEFAULT_PREFIX,
 ) -> tuple[DataFrame, DataFrame]:
     """(input planes with one mask plane per class, images refused with a reason)."""
-    inputs = load_single(spark, root, INPUT_KIND, ext, prefix).drop("kind")
-    masks = decode_channels(scan_images(spark, root, None, ext, prefix)).where(
-        F.col("kind").isin(*[f"seg_{c}" for c in classes])
-    )
+    # the kind decides before any plane is made
+    files = scan_images(spark, root, None, ext, prefix)
+    wanted = files.where(F.col("kind").isin(INPUT_KIND, *[f"seg_{c}" for c in classes]))
+    inputs = decode_channels(files.where(F.col("kind") == INPUT_KIND)).drop("kind")
+    masks = decode_channels(files.where(F.col("kind").isin(*[f"seg_{c}" for c in classes])))
     long = masks.select(
         "image_id",
         F.regexp_replace("kind", "^seg_", "").alias("class"),
@@ -113,7 +128,10 @@ def load_pairs(
         "width",
         F.col("r").alias("plane"),
     )
-    return join_class_masks(inputs, long)
+    pairs, refused = join_class_masks(inputs, long)
+    faulty = unreadable(wanted).dropDuplicates(["image_id"])
+    others = refused.join(faulty.select("image_id"), "image_id", "left_anti")
+    return pairs, others.unionByName(faulty, allowMissingColumns=True)
 
 
 def write_dataset(df: DataFrame, path: str, dataset: str, mode: str = "append") -> None:

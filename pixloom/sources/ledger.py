@@ -27,10 +27,15 @@ def write_visit(new: DataFrame, path: str) -> None:
 
 
 def read_polygons(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
-    """(one row per polygon, documents refused for their version).
+    """(one row per polygon, documents refused for their version) of JSON lines, as written here.
 
     Defaults: empty class name, sample number 1; colours and mask file stay NULL.
     """
+    return explode_polygons(spark.read.schema(S.POLYGON_DOCUMENT).json(glob))
+
+
+def read_polygon_files(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
+    """The same of files that hold one document each, spread over any number of lines."""
     documents = spark.read.option("multiLine", True).schema(S.POLYGON_DOCUMENT).json(glob)
     return explode_polygons(documents)
 

@@ -163,7 +163,7 @@ def test_ledger_and_polygon_documents(spark, tmp_path):
     old = {"version": 1, "image_index": 5, "polygons": []}
     for name, d in (("a", doc), ("b", old)):
         (tmp_path / f"{name}.json").write_text(json.dumps(d, indent=1))
-    polys, refused = ledger.read_polygons(spark, str(tmp_path / "*.json"))
+    polys, refused = ledger.read_polygon_files(spark, str(tmp_path / "*.json"))
     p = polys.first()
     assert (p["class_name"], p["sample_number"], p["lch_data"]["count"]) == ("", 1, 9)
     assert [r["image_index"] for r in refused.collect()] == [5]
@@ -172,6 +172,11 @@ def test_ledger_and_polygon_documents(spark, tmp_path):
     row = again.first()
     assert row["version"] == 3 and row["mask_file"] == "pic_004_polygon__1.png"
     assert row["vertices"] == p["vertices"]
+    # many documents in one file
+    many = polys.withColumn("image_id", F.explode(F.sequence(F.lit(1), F.lit(6)))).coalesce(1)
+    ledger.write_polygons(many, str(tmp_path / "many"))
+    again, _ = ledger.read_polygons(spark, str(tmp_path / "many"))
+    assert sorted(r["image_id"] for r in again.collect()) == [1, 2, 3, 4, 5, 6]
 
 
 def test_polygon_edits(spark):
@@ -189,6 +194,17 @@ def test_polygon_edits(spark):
         (2, "scar"), (5, "scar"), (9, "n3"), (10, "n1"), (11, "n2")}
     assert [(r["id"], r["reason"]) for r in rejected.collect()] == [(5, "id not positive")]
 
+    # edits that meet: two renumbers to one id, an add of that id, two edits of one polygon
+    rows = [(1, 1, "renumber", 1, 3, None), (1, 2, "add", 3, None, "n1"), (1, 3, "renumber", 2, 3, None),
+            (1, 4, "recolour", 5, None, None), (1, 5, "replace", 5, None, "n2"), (1, 6, "renumber", 2, 8, None)]
+    changes = spark.createDataFrame(
+        rows, "image_id int, seq int, action string, id int, new_id int, class string"
+    ).withColumn("vertices", F.lit(None).cast("array<array<double>>"))
+    done, rejected = polygons.edit_polygons(base, changes)
+    ids = [r["id"] for r in done.collect()]
+    assert len(ids) == len(set(ids)) == 4 and {3, 5} <= set(ids)
+    assert {(r["seq"], r["reason"]) for r in rejected.collect()} >= {(3, "id in use"), (5, "polygon already edited")}
+
 
 def test_ingest_reads_every_file_once(spark, tmp_path):
     from pixloom.streaming import telemetry as T
@@ -208,3 +224,26 @@ def test_ingest_reads_every_file_once(spark, tmp_path):
     assert drain() == 1
     (inbox / "image_001_seg_scar.png").write_bytes(png(blank))
     assert drain() == 2
+
+
+def test_one_corrupt_file_is_one_error(spark, folder, tmp_path):
+    import shutil
+
+    root = tmp_path / "images"
+    shutil.copytree(folder[0], root)
+    good, bad = sources.load_pairs(spark, str(root))
+    kept, refused = {r["image_id"] for r in good.collect()}, {r["image_id"] for r in bad.collect()}
+    broken = min(kept)
+    next(root.rglob(f"*_{broken:03d}_raw_adj.png")).write_bytes(b"no picture")
+    good, bad = sources.load_pairs(spark, str(root))
+    assert {r["image_id"] for r in good.collect()} == kept - {broken}
+    reasons = {r["image_id"]: r["reason"] for r in bad.collect()}
+    assert set(reasons) == refused | {broken} and reasons[broken].startswith("unreadable file")
+
+
+def test_histogram_counts_what_lies_outside(spark):
+    from pixloom.operators import stats
+
+    df = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 0.4, 1.0, 2.0, 3.0)], "v double")
+    rows = {r["bin"]: r["n"] for r in stats.histogram(df, "v", 2, lo=0.0, hi=1.0).collect()}
+    assert rows == {-1: 1, 0: 2, 1: 1, 2: 2}
