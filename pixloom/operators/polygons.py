@@ -191,20 +191,70 @@ def attach_mask_files(polygons: DataFrame, files: DataFrame, prefix: str = FILE_
     return keyed.join(known, "name"), keyed.join(known, "name", "left_anti")
 
 
+def _judged_edits(ids: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edits that hold, rejected ones with ``reason``)."""
+    image = ["image_id"]
+    edits = changes.where(F.col("action") != "add").select(
+        *image,
+        "seq",
+        "action",
+        "id",
+        "new_id",
+        F.col("class").alias("__class"),
+        F.col("vertices").alias("__vertices"),
+    )
+    wanted = edits.join(ids.withColumn("__exists", F.lit(True)), [*image, "id"], "left")
+    clash = ids.select(*image, F.col("id").alias("new_id"), F.lit(True).alias("__clash"))
+    wanted = wanted.join(clash, [*image, "new_id"], "left")
+    renumber = F.col("action") == "renumber"
+    reason = (
+        F.when(renumber & (F.coalesce(F.col("new_id"), F.lit(0)) <= 0), F.lit("id not positive"))
+        .when(
+            renumber & F.col("__clash").isNotNull() & (F.col("new_id") != F.col("id")),
+            F.lit("id in use"),
+        )
+        .when(F.col("__exists").isNull(), F.lit("polygon not found"))
+    )
+    judged = wanted.withColumn("reason", reason)
+    # edits that meet: the first valid one of a polygon, then the first to ask for an id
+    valid = F.col("reason").isNull().cast("int")
+    nth = F.row_number().over(W.partitionBy("image_id", "id", valid).orderBy("seq"))
+    judged = judged.withColumn("__nth", nth).withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("__nth") > 1, F.lit("polygon already edited")))
+    )
+    asks = F.when(F.col("reason").isNull() & renumber, F.col("new_id"))
+    judged = judged.withColumn("__asks", asks)
+    nth = F.row_number().over(W.partitionBy("image_id", "__asks").orderBy("seq"))
+    judged = judged.withColumn("__nth", nth).withColumn(
+        "reason",
+        F.coalesce("reason", F.when(F.col("__asks").isNotNull() & (F.col("__nth") > 1), F.lit("id in use"))),
+    )
+    rejects = judged.where("reason IS NOT NULL").select(*image, "seq", "action", "id", "reason")
+    good = judged.where("reason IS NULL").select(
+        *image, "id", "action", F.when(renumber, F.col("new_id")).alias("new_id"), "__class", "__vertices"
+    )
+    return good, rejects
+
+
 def edit_polygons(polygons: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply one batch of edits; returns (polygons, rejected changes with ``reason``).
 
     ``changes``: (image_id, seq, action, id, new_id, class, vertices) with action
     add / remove / replace / recolour / renumber. Edits of one batch refer to the
-    ids before the batch, at most one per existing polygon; adds keep a free
-    requested id, the others continue after the largest id of the image.
+    ids before the batch. Of several edits of one polygon, and of several renumbers
+    to one id, the first by ``seq`` holds and the others are rejected. Adds keep a
+    requested id that is free before and after the edits; the others continue after
+    the largest id of the image, renumbered ones included.
     """
     image = ["image_id"]
     ids = polygons.select(*image, "id")
-    top = ids.groupBy(*image).agg(F.max("id").alias("__top"))
+    good, rejects = _judged_edits(ids, changes)
+    after = ids.unionByName(good.where("new_id IS NOT NULL").select(*image, F.col("new_id").alias("id")))
+    after = after.distinct()
+    top = after.groupBy(*image).agg(F.max("id").alias("__top"))
 
     adds = changes.where(F.col("action") == "add")
-    taken = ids.select(*image, "id", F.lit(True).alias("__taken"))
+    taken = after.select(*image, "id", F.lit(True).alias("__taken"))
     adds = adds.join(taken, [*image, "id"], "left")
     first_ask = F.row_number().over(W.partitionBy("image_id", "id").orderBy("seq")) == 1
     adds = adds.withColumn(
@@ -225,32 +275,6 @@ def edit_polygons(polygons: DataFrame, changes: DataFrame) -> tuple[DataFrame, D
         "vertices",
     )
 
-    edits = changes.where(F.col("action") != "add").select(
-        *image,
-        "seq",
-        "action",
-        "id",
-        "new_id",
-        F.col("class").alias("__class"),
-        F.col("vertices").alias("__vertices"),
-    )
-    wanted = edits.join(ids.withColumn("__exists", F.lit(True)), [*image, "id"], "left")
-    clash = ids.select(*image, F.col("id").alias("new_id"), F.lit(True).alias("__clash"))
-    wanted = wanted.join(clash, [*image, "new_id"], "left")
-    renumber = F.col("action") == "renumber"
-    reason = (
-        F.when(renumber & (F.coalesce(F.col("new_id"), F.lit(0)) <= 0), F.lit("id not positive"))
-        .when(
-            renumber & F.col("__clash").isNotNull() & (F.col("new_id") != F.col("id")),
-            F.lit("id in use"),
-        )
-        .when(F.col("__exists").isNull(), F.lit("polygon not found"))
-    )
-    judged = wanted.withColumn("reason", reason)
-    rejects = judged.where("reason IS NOT NULL").select(*image, "seq", "action", "id", "reason")
-    good = judged.where("reason IS NULL").select(
-        *image, "id", "action", "new_id", "__class", "__vertices"
-    )
     current = polygons.join(good, [*image, "id"], "left")
     act = F.coalesce("action", F.lit("keep"))
     edited = current.where(act != "remove").select(
