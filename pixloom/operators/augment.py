@@ -476,14 +476,15 @@ def balanced_dataset(
     oversample: float = 2.0,
     attempt_factor: int = 100,
     created_at=None,
+    allow_short: bool = False,
 ) -> tuple[DataFrame, list[dict]]:
     """(lineage of the accepted samples in shuffled order, log of the rounds).
 
     Candidates are made in rounds, as many as the acceptance seen so far suggests;
     the gate keeps the good ones and the lowest attempt numbers fill the quota.
     The result does not depend on partitioning. A class stops when its quota is
-    full or after ``attempt_factor`` times its quota. Only per-class counts come
-    to the driver.
+    full or after ``attempt_factor`` times its quota; a quota not filled by then
+    is an error unless ``allow_short``. Only per-class counts come to the driver.
     """
     spark = images.sparkSession
     window = intermediate_size(base, max_multiplier)
@@ -536,6 +537,8 @@ def balanced_dataset(
             log.append({"class": c, "attempts": plan[c][1], "accepted": got, "needed": n})
             if n > got and used[c] < attempt_factor * int(counts[c]):
                 still[c] = n - got
+            elif n > got and not allow_short:
+                raise RuntimeError(f"{c}: {n - got} of {counts[c]} not filled in {used[c]} attempts")
         lacking = still
     lineage = stages[0] if stages else None
     for stage in stages[1:]:
@@ -621,16 +624,17 @@ def class_cycle_dataset(
     length: int,
     seed: int,
     size: tuple[int, int],
-    excluded: Sequence[int] = (8, 16),
+    excluded: Sequence[int] = (),
     minimum_share: float = 0.05,
     tries: int = 8,
-    max_rounds: int = 12,
+    patience: int = 20,
 ) -> tuple[DataFrame, int]:
     """Older sampler: classes follow a 15-slot cycle, sources are uniform.
 
     A sample needs class / (class + background) of at least ``minimum_share`` in
-    its patch; each slot takes its lowest passing attempt. Returns (lineage with
-    one row per filled index, number of unfilled indices).
+    its patch; each slot takes its lowest passing attempt, and rounds go on until
+    every slot is filled. ``patience`` rounds in a row without any passing attempt
+    are an error. Returns (lineage with one row per index, number of attempts a slot had at most).
     """
     spark = images.sparkSession
     sources = blocked_rank(
@@ -645,8 +649,10 @@ def class_cycle_dataset(
     sources = cut_lineage(sources)
     n_sources = sources.count()
     todo = spark.range(length).withColumnRenamed("id", "index")
-    parts, first = [], 0
-    for _ in range(max_rounds):
+    parts, first, idle = [], 0, 0
+    while not todo.isEmpty():
+        if idle == patience or not n_sources:
+            raise RuntimeError(f"no source fills the {todo.count()} slots left")
         attempts = (
             todo.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))))
             .withColumn("target_class", cycle_class(F.col("index"), seed))
@@ -691,15 +697,16 @@ def class_cycle_dataset(
             .agg(F.min_by(F.struct(*fields), "attempt").alias("s"))
             .select("index", "s.*")
         )
+        idle = idle + 1 if winners.isEmpty() else 0
         parts.append(winners)
         todo = cut_lineage(todo.join(winners.select("index"), "index", "left_anti"))
         first += tries
-        if todo.isEmpty():
-            break
+    if not parts:
+        raise ValueError("length must be positive")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out, todo.count()
+    return out, first
 
 
 def crop_first_parameters(df: DataFrame, seed: int, ids: Sequence[str]) -> DataFrame:

@@ -181,7 +181,8 @@ def histogram(
     """Equal-width bins, empty ones included; the maximum falls into the last bin.
 
     Without ``lo``/``hi`` each key uses its own range. ``mode="pdf"`` divides by
-    count and width.
+    count and width. Values outside a given range are counted in bins -1 (below)
+    and ``bins`` (above), which appear only where there are such values.
     """
     keys = list(keys)
     grouped = keys or ["__all"]
@@ -198,11 +199,12 @@ def histogram(
         bounds = data.select(*grouped).distinct()
         bounds = bounds.withColumns({"__lo": F.lit(float(lo)), "__hi": F.lit(float(hi))})
         data = data.withColumns({"__lo": F.lit(float(lo)), "__hi": F.lit(float(hi))})
-        data = data.where(F.col("__x").between(float(lo), float(hi)))
     width = (F.col("__hi") - F.col("__lo")) / bins
     raw = F.when(width > 0, F.floor((F.col("__x") - F.col("__lo")) / width)).otherwise(0)
+    inside = F.least(raw, F.lit(bins - 1))
+    place = F.when(F.col("__x") < F.col("__lo"), -1).when(F.col("__x") > F.col("__hi"), bins)
     counted = (
-        data.withColumn("bin", F.least(raw, F.lit(bins - 1)).cast("int"))
+        data.withColumn("bin", place.otherwise(inside).cast("int"))
         .groupBy(*grouped, "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -210,9 +212,10 @@ def histogram(
         *grouped,
         "__lo",
         width.alias("__w"),
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
+        F.explode(F.sequence(F.lit(-1), F.lit(bins))).alias("bin"),
     )
-    full = join_on(frame, counted, [*grouped, "bin"], "left").fillna({"n": 0})
+    full = join_on(frame, counted, [*grouped, "bin"], "left")
+    full = full.where(F.col("bin").between(0, bins - 1) | F.col("n").isNotNull()).fillna({"n": 0})
     full = full.withColumn("bin_start", F.col("__lo") + F.col("bin") * F.col("__w"))
     out = [*keys, "bin", "bin_start", "n"]
     if mode == "pdf":

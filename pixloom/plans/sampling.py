@@ -229,7 +229,7 @@ def class_cycle_dataset(spark, sf):
     """One sample per source image; every slot fills, none below the share, none excluded."""
     images = X.mask_images(spark, sf)
     n = images.count()
-    out, _ = A.class_cycle_dataset(images, n, 41, (4, 4))
+    out, _ = A.class_cycle_dataset(images, n, 41, (4, 4), excluded=(8, 16))
     return out.agg(
         F.count(F.lit(1)).alias("filled"),
         F.count_if(F.col("class_share") < 0.05).alias("below_share"),

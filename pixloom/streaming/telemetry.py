@@ -1,6 +1,7 @@
 """Training telemetry as Structured Streaming, with batch forms of the same results.
 
-Telemetry rows: run_id, ts, kind, error, absolute_performance, observation_delta.
+Telemetry rows: run_id, ts, kind, error, absolute_performance, observation_delta, and seq, which
+orders rows of one time.
 ``kind`` is observation, or a control event: reset (clear history) or stop.
 """
 
@@ -19,7 +20,7 @@ from pixloom.operators.scale import blocked_rank
 
 TELEMETRY_SCHEMA = (
     "run_id string, ts timestamp, kind string, error double,"
-    " absolute_performance double, observation_delta bigint"
+    " absolute_performance double, observation_delta bigint, seq bigint"
 )
 _OUT = "run_id string, emission bigint, value double, observation bigint"
 _STATE = (
