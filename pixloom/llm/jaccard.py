@@ -32,7 +32,8 @@ from pixloom.llm.window_dedup import LEAST_CELLS, MOST_CELLS, Sketch, merge_coun
 
 SHINGLE, PERCENT = 4, 85
 BAND_RATIO = 1.4
-INFO = "doc long, n long, s1 long, s2 long, bits binary"
+PARITY = ("p0", "p1", "p2", "p3")  # 256 parities in four whole numbers
+INFO = "doc long, n long, s1 long, s2 long, bits binary, " + ", ".join(f"{p} long" for p in PARITY)
 
 
 @lru_cache(maxsize=None)
@@ -102,21 +103,25 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
     who = np.repeat(np.arange(len(sizes)), count)
     band = ragged(least, count)
     m = segments[band]
+    # partners of this band's sizes differ in less than its bound allows: fewer segments are enough
+    partner = np.minimum(high[band], sizes[who]) + np.where(sizes[who] > high[band], sizes[who], sizes[who] * 100 // percent)
+    need = np.minimum(m, (100 - percent) * partner // (100 + percent) + 1 + slack[band])
     base = np.cumsum(m) - m
-    total = int(m.sum())
     begin = np.cumsum(sizes) - sizes
     element = values[ragged(begin[who], sizes[who])]
     entry = np.repeat(np.arange(len(who)), sizes[who])
     spread = mix(element + U(99))
-    at = base[entry] + (spread % m[entry].astype(U)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
+    segment = (spread % m[entry].astype(U)).astype(np.int64)
+    at = base[entry] + segment
+    used = np.flatnonzero(segment < need[entry])
+    order = used[np.argsort(at[used], kind="stable")]
     filled, first, held = np.unique(at[order], return_index=True, return_counts=True)
     strong = mix(element + U(7))[order]
     sums = np.add.reduceat(strong, first) if len(first) else np.zeros(0, U)
     of = np.searchsorted(base, filled, "right") - 1
     place = mix((filled - base[of]).astype(U) * U(0x2545F4914F6CDD1D) + mix(band[of].astype(U) + U(1)))
     keys, owner = [mix(sums + place)], [who[of]]
-    empty = m - np.bincount(of, minlength=len(who))
+    empty = need - np.bincount(of, minlength=len(who))
     sparse = empty > slack[band]
     if sparse.any():
         some = sparse[of]
@@ -139,6 +144,14 @@ def parity(values: np.ndarray, size: int) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def short_parity(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parities of each set in 256 bits, as rows of four whole numbers."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    cell = (mix(values + U(5)) & U(255)).astype(np.int64)
+    odd = np.bincount(row * 256 + cell, minlength=len(sizes) * 256).reshape(-1, 256) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
 def differing(a: bytes, b: bytes) -> int:
     if len(a) < len(b):
         a, b = b, a
@@ -188,17 +201,17 @@ def jaccard_components(
             for a, b in chunks(offsets):
                 values, sizes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
                 ends = np.cumsum(sizes)
-                parts.append((sizes, *identity(values, sizes)))
+                parts.append((sizes, *identity(values, sizes), short_parity(values, sizes)))
                 bits += [parity(values[e - n : e], n) for e, n in zip(ends, sizes, strict=True)]
-            n, s1, s2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+            n, s1, s2, short = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(bits, pa.binary())],
-                names=["doc", "n", "s1", "s2", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(bits, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in short.T)],
+                names=["doc", "n", "s1", "s2", "bits", *PARITY],
             )
 
     info = saved(texts.mapInArrow(describe, INFO), "sets")
     known = info.where("doc IS NOT NULL AND n > 0")
-    one = known.groupBy("doc").agg(F.max(F.struct("n", "bits")).alias("x")).select("doc", "x.n", "x.bits")
+    one = known.groupBy("doc").agg(F.max(F.struct("n", "bits", *PARITY)).alias("x")).select("doc", "x.*")
     links = pairs_of(texts.where("doc IS NOT NULL"), info, one, shingle, percent)
     # equal sets are one class; its component is the least of its documents'
     roots = known.select("doc", "s1", "s2").join(links.select(F.col("node").alias("doc"), "root"), "doc", "left")
@@ -277,11 +290,15 @@ def pairs_of(texts: DataFrame, info: DataFrame, one: DataFrame, shingle: int, pe
     # what the first pass left in different components, though a segment is shared
     placed = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    left = saved(placed.join(mixed, "key", "left_semi").select("key", "doc", "n", "root"), "left")
-    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "root"))) for s in "xy")
+    left = placed.join(mixed, "key", "left_semi").select("key", "doc", "root")
+    left = saved(left.join(one.select("doc", "n", *PARITY), "doc"), "left")
+    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "root", *PARITY))) for s in "xy")
+    # parities that differ too often rule a pair out inside the join
+    differ = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in PARITY), F.lit(0))
     second = (
         x.join(y, "key")
         .where((F.col("root_x") < F.col("root_y")) & fits("n_x", "n_y"))
+        .where(differ * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
         .select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
