@@ -619,17 +619,19 @@ def validation_score(spark, sf):
     "document_quality_metrics",
     f"""WITH d AS (SELECT source, quality::DOUBLE AS q, ln(n_chars + 1.0) - 6.0 AS z
       FROM documents JOIN labels USING (doc_id)),
-    s AS (SELECT *, exp(z) / (exp(z) + exp(-z)) AS p FROM d)
-    SELECT source, {rnd(f'avg(-q * ln(p + {_EPS}) - (1 - q) * ln(1 - p + {_EPS}))')} AS cross_entropy,
-    count(*) FILTER (p > 0.5 AND q > 0.5) AS tp, count(*) FILTER (p <= 0.5 AND q <= 0.5) AS tn,
-    count(*) FILTER (p > 0.5 AND q <= 0.5) AS fp, count(*) FILTER (p <= 0.5 AND q > 0.5) AS fn
-    FROM s GROUP BY source""",
+    s AS (SELECT *, exp(z) / (exp(z) + exp(-z)) AS p FROM d),
+    c AS (SELECT source, {rnd(f'avg(-q * ln(p + {_EPS}) - (1 - q) * ln(1 - p + {_EPS}))')} AS cross_entropy,
+      count(*) FILTER (p > 0.5 AND q > 0.5) AS gg, count(*) FILTER (p <= 0.5 AND q <= 0.5) AS bb,
+      count(*) FILTER (p > 0.5 AND q <= 0.5) AS gb, count(*) FILTER (p <= 0.5 AND q > 0.5) AS bg
+      FROM s GROUP BY source)
+    SELECT source, 'good' AS class, cross_entropy, gg AS tp, bb AS tn, gb AS fp, bg AS fn FROM c
+    UNION ALL SELECT source, 'bad', cross_entropy, bb, gg, bg, gb FROM c""",
 )
 def document_quality_metrics(spark, sf):
     df = X.label_predictions(spark, sf)
     ce = metrics.cross_entropy(df, 2, ["source"])
-    conf = metrics.confusion(df, ("good", "bad"), keys=["source"]).where("class = 'good'")
-    return rounded(ce.join(conf.drop("class"), "source"))
+    conf = metrics.confusion(df, ("good", "bad"), keys=["source"])
+    return rounded(ce.join(conf, "source"))
 
 
 @query(
