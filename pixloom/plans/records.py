@@ -408,7 +408,7 @@ def missing_top10(spark, sf):
     files = X.table(spark, sf, "labels").select(
         (F.col("doc_id") + 1).alias("image_id"), F.lit(1).alias("length")
     )
-    return sources.verify_dataset(expected, files)[1]
+    return sources.verify_dataset(expected, files, shown=10)[1]
 
 
 @query(

@@ -136,7 +136,9 @@ def fan_out(spark, sf):
 
     def save(name, column):
         def handler(batch, batch_id):
-            batch.select(F.col(column).alias("v")).write.mode("append").parquet(f"{path}/{name}")
+            # a folder for each batch: one that is retried replaces itself
+            out = batch.select(F.col(column).alias("v"))
+            out.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
 
         return handler
 

@@ -189,9 +189,9 @@ def read_dense_bin(
 
 
 def verify_dataset(
-    expected: DataFrame, files: DataFrame, shown: int = 10
+    expected: DataFrame, files: DataFrame, shown: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(one verdict row, at most ``shown`` missing ids).
+    """(one verdict row, the missing ids, the first ``shown`` if that is given).
 
     ``expected``: (image_id); ``files``: (image_id, length), where a NULL or
     non-positive id is invalid metadata.
@@ -209,7 +209,7 @@ def verify_dataset(
         "total_bytes",
         ((n_missing == 0) & (F.col("n_invalid") == 0)).alias("ok"),
     )
-    return verdict, missing.orderBy("image_id").limit(shown)
+    return verdict, missing if shown is None else missing.orderBy("image_id").limit(shown)
 
 
 def skip_existing(todo: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
