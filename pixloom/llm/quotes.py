@@ -110,13 +110,12 @@ def link_quotes(
     )
     while not tree.where("up IS NOT NULL").isEmpty():
         above = tree.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"))
-        tree = saved(
-            tree.join(above, "up", "left").select(
-                "id", "reply_to", F.col("next").alias("up"), F.coalesce("top", "root").alias("root"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            ),
-            "tree",
+        # only messages that have not reached their root take part
+        further = tree.where("up IS NOT NULL").join(above, "up", "left").select(
+            "id", "reply_to", F.col("next").alias("up"), F.coalesce("top", "root").alias("root"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
         )
+        tree = saved(tree.where("up IS NULL").select("id", "reply_to", "up", "root", "depth").union(further), "tree")
     found = tree.select(F.col("id").alias("__id"), "root", "reply_to", "depth")
     joined = base.withColumn("__id", F.col(message_id)).join(found, "__id", "left").drop("__id")
     return joined.withColumn("own_text", F.btrim(F.array_join(at_level(parsed(F.col(text)), 0), "\n"), F.lit(" \t\r\n")))
