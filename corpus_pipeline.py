@@ -48,8 +48,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text's pieces, with the number of them and whether they decode to the text."""
-    model = pieces.Model()
-    both = pieces.decode(pieces.encode(docs, model), model)
+    both = pieces.encode_and_decode(docs, pieces.Model())
     same = F.col("decoded").eqNullSafe(F.translate("text", pieces.BLANK, " "))
     return both.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids", same.alias("round_trip"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from pixloom.session import shared_dir
 
+SLICE_BYTES = 4 << 20
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop the columns whose names an operator is about to add, in any case."""
@@ -32,10 +33,11 @@ def append_columns(
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in names] + make(batch), names=schema.names
-                )
+            # slices of a few megabytes, so that what a task holds does not depend on the batch
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + make(part), names=schema.names)
 
     return df.mapInArrow(run, schema)
 

@@ -24,9 +24,9 @@ from pixloom.llm.text import BYTE_VALUES, Stretch, U, chunks, joined, ragged
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-MOST_KNOWN = 1_000_000  # cuts whose pieces a worker remembers
-BLOCK = 1 << 20  # characters indexed at once
-TEXT_CHUNK = 1 << 22
+MOST_KNOWN = 400_000  # cuts whose pieces a worker remembers, and pairs of pieces
+BLOCK = 1 << 18  # characters indexed at once
+TEXT_CHUNK = 1 << 20
 
 
 class Pieces:
@@ -193,7 +193,7 @@ class Pieces:
         """Encode new cuts and remember their pieces."""
         if len(self.known) + len(hashes) > MOST_KNOWN:
             self.forget()
-        if len(self.beside) > 4 * MOST_KNOWN:
+        if len(self.beside) > MOST_KNOWN:
             self.beside.clear()
         sizes = end - start
         several = sizes > 1
@@ -297,6 +297,35 @@ class Model:
         return _loaded[self.key]
 
 
+def ids_of(column: pa.Array, vocabulary: Pieces) -> pa.Array:
+    """Ids of each text of a column."""
+    data, offsets = joined(column)
+    if BLANK.encode() in data.tobytes():
+        data, offsets = joined(pa.array([x and x.replace(BLANK, " ") for x in column.to_pylist()], pa.string()))
+    flats, counts = [], []
+    for a, b in chunks(offsets, TEXT_CHUNK):
+        flat, count = vocabulary.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        flats.append(flat)
+        counts.append(count)
+    where = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    values = pa.array(np.concatenate(flats), pa.int32())
+    missing = np.append(np.asarray(column.is_null()), False)
+    return pa.ListArray.from_arrays(pa.array(where, pa.int32(), mask=missing), values)
+
+
+def texts_of(column: pa.Array, vocabulary: Pieces) -> pa.Array:
+    """Text of each list of ids of a column."""
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    data, offsets = vocabulary.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))]
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), buffers)
+    try:
+        out = raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        out = pa.array([x.as_py().decode(errors="replace") for x in raw], pa.string())
+    return pa.compute.if_else(column.is_null(), pa.scalar(None, pa.string()), out) if column.null_count else out
+
+
 def encode(df: DataFrame, model: Model, *, text: str = "text", ids: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
     """Add the ids of each text's pieces; those of a null text are null, of an empty one none.
 
@@ -304,47 +333,30 @@ def encode(df: DataFrame, model: Model, *, text: str = "text", ids: str = "ids",
     column of the result's name is replaced.
     """
 
-    def make(batch):
-        vocabulary = model.ready()
-        column = batch.column(text)
-        data, offsets = joined(column)
-        if BLANK.encode() in data.tobytes():
-            data, offsets = joined(pa.array([x and x.replace(BLANK, " ") for x in column.to_pylist()], pa.string()))
-        flats, counts = [], []
-        for a, b in chunks(offsets, TEXT_CHUNK):
-            flat, count = vocabulary.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            flats.append(flat)
-            counts.append(count)
-        where = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        values = pa.array(np.concatenate(flats), pa.int32())
-        return [pa.ListArray.from_arrays(pa.array(where, pa.int32(), mask=np.append(np.asarray(column.is_null()), False)), values)]
-
-    return append_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, drop)
+    field = T.StructField(ids, T.ArrayType(T.IntegerType()))
+    return append_columns(df, [field], lambda batch: [ids_of(batch.column(text), model.ready())], drop)
 
 
 def decode(df: DataFrame, model: Model, *, ids: str = "ids", decoded: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
     """Add the text of each list of ids; null for null. Bytes that are not UTF-8 become U+FFFD."""
 
+    field = T.StructField(decoded, T.StringType())
+    return append_columns(df, [field], lambda batch: [texts_of(batch.column(ids), model.ready())], drop)
+
+
+def encode_and_decode(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """Add both ``ids`` and the text they give, ``decoded``, in one pass."""
+
     def make(batch):
-        vocabulary = model.ready()
-        column = batch.column(ids)
-        counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        data, offsets = vocabulary.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
-        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))])
-        try:
-            out = raw.cast(pa.large_string()).cast(pa.string())
-        except pa.ArrowInvalid:
-            out = pa.array([x.as_py().decode(errors="replace") for x in raw], pa.string())
-        if column.null_count:
-            out = pa.compute.if_else(column.is_null(), pa.scalar(None, pa.string()), out)
-        return [out]
-
-    return append_columns(df, [T.StructField(decoded, T.StringType())], make, drop)
+        found = ids_of(batch.column(text), model.ready())
+        return [found, texts_of(found, model.ready())]
+
+    return append_columns(df, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], make)
 
 
 def round_trip(df: DataFrame, model: Model) -> DataFrame:
     """For each text the number of pieces, a hash of the ids, and what decoding them gives."""
-    both = decode(encode(df, model), model)
+    both = encode_and_decode(df, model)
     return both.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"),
