@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pixloom.llm.frame import lists, without
 from pixloom.llm.registry import query, table
 from pixloom.llm.runs import ROWS, Runs, doc_key, heavy_keys, list_columns, local_rows, merge_ranges, per_document, resolve
-from pixloom.llm.suffix_dedup import with_spans
+from pixloom.llm.suffix_dedup import with_lists, with_spans
 from pixloom.llm.text import BLANK_SPLIT, Stretch, U, Words, chunks, joined, mix, ragged
 
 WINDOW, GRAM = 20, 6
@@ -155,9 +155,10 @@ def removed_windows(
     def windows(batches):
         """Copies found by content as ranges, the other windows one by one under their own hash."""
         for batch in batches:
-            doc, (data, offsets) = batch.column(0).to_numpy(), joined(batch.column(1))
-            lengths, f = list_columns(batch.column(2))
+            doc, (data, offsets) = batch.column("__doc").to_numpy(), joined(batch.column(text))
+            lengths, f = list_columns(batch.column("__found"))
             begin = np.cumsum(lengths) - lengths
+            single, copies = [], []
             for a, b in chunks(offsets):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], BLANK_SPLIT)
                 first, second = Stretch(words.hash), Stretch(mix(words.hash + U(1)))
@@ -167,24 +168,27 @@ def removed_windows(
                 one = ~copy
                 size = (hi - lo + 1)[one].astype(np.int64)
                 start = ragged(lo[one].astype(np.int64), size)
-                text = np.repeat(owner[one], size)
-                at = start + words.bounds[text]
-                ok = at + window <= words.bounds[text + 1]  # always, where an id names one text
-                start, text, at = start[ok], text[ok], at[ok]
-                parts = [(first.of(at, at + window), second.of(at, at + window), doc[a:b][text], start, start, np.zeros(len(at), bool))]
+                which = np.repeat(owner[one], size)
+                at = start + words.bounds[which]
+                ok = at + window <= words.bounds[which + 1]  # always, where an id names one text
+                start, which, at = start[ok], which[ok], at[ok]
+                single.append((first.of(at, at + window), second.of(at, at + window), doc[a:b][which], start, start, np.zeros(len(at), bool)))
                 for i in np.unique(owner[copy]):
                     its = copy & (owner == i)
                     x, y = merge_ranges(lo[its].astype(np.int64), hi[its].astype(np.int64))
-                    key = mix(np.full(len(x), doc[a + i]).view(U) + x.astype(U))
-                    parts.append((key, key, np.full(len(x), doc[a + i]), x, y, np.ones(len(x), bool)))
-                key, content, docs, lo, hi, copy = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    copies.append((np.full(len(x), doc[a + i]), x, y))
+            # a window common to many texts is sent on once a batch
+            yield local_rows(*(np.concatenate(x) for x in zip(*single, strict=True)))
+            if copies:
+                docs, lo, hi = (np.concatenate(x) for x in zip(*copies, strict=True))
+                key = pa.array(mix(docs.view(U) + lo.astype(U)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(docs), pa.array(lo, pa.int32()),
-                     pa.array(hi, pa.int32()), pa.array(np.zeros(len(key), bool)), pa.array(copy)],
+                    [key, key, pa.array(docs), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()),
+                     pa.array(np.zeros(len(docs), bool)), pa.array(np.ones(len(docs), bool))],
                     names=["key", "content", "doc", "lo", "hi", "inner", "copy"],
                 )
 
-    single = texts.join(found, "doc").select("doc", "text", "found").mapInArrow(windows, ROWS)
+    single = with_lists(df, found, doc_id).mapInArrow(windows, ROWS)
     return resolve(single, finest=True).select("doc", "lo", "hi")
 
 
@@ -209,7 +213,7 @@ def remove_windows(
     name one text. Columns with the names of the results are replaced. ``digest`` gives
     ``kept_sha256`` in place of text, ranges and words.
     """
-    df = without(df, [f.name for f in FIELDS] + ["kept_sha256", "__doc", "__spans"])
+    df = without(df, [f.name for f in FIELDS] + ["kept_sha256", "__doc", "__found", "__spans"])
     spans = removed_windows(df, doc_id=doc_id, text=text, window=window, gram=gram, cells=cells)
     both = with_spans(df, spans, doc_id)
     names = [c for c in df.columns if not (digest and c == text)]
