@@ -115,7 +115,9 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
     at = base[entry] + segment
     used = np.flatnonzero(segment < need[entry])
     order = used[np.argsort(at[used], kind="stable")]
-    filled, first, held = np.unique(at[order], return_index=True, return_counts=True)
+    ordered = at[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
+    filled, held = ordered[first], np.diff(np.append(first, len(ordered)))
     strong = mix(element + U(7))[order]
     sums = np.add.reduceat(strong, first) if len(first) else np.zeros(0, U)
     of = np.searchsorted(base, filled, "right") - 1
@@ -130,7 +132,7 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
         keys.append(mix(less + np.repeat(place[some], held[some])))
         owner.append(np.repeat(who[of[some]], held[some]))
         for i in np.unique(who[sparse]):
-            mine = np.sort(spread[entry == np.flatnonzero(who == i)[0]])
+            mine = np.sort(mix(values[begin[i] : begin[i] + sizes[i]] + U(99)))
             prefix = mine[: int(sizes[i] - -(-sizes[i] * percent // 100) + 1)]
             keys.append(mix(prefix + U(0xABCDEF)))
             owner.append(np.full(len(prefix), i))
@@ -265,8 +267,8 @@ def index_rows(texts: DataFrame, shingle: int, percent: int, cells: int) -> Data
 def pairs_of(texts: DataFrame, info: DataFrame, one: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Components (node, root) of the linked documents."""
     total = info.agg(F.sum("n")).first()[0] or 0
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(total).bit_length()))
-    rows = index_rows(texts, shingle, percent, cells)
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(total).bit_length() - 1 if total else 0))
+    rows = saved(index_rows(texts, shingle, percent, cells), "rows")
     often = rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     shared = saved(rows.join(often, "key"), "index")
     weight = shared.groupBy("doc").agg(F.sum("met").alias("weight"))
