@@ -215,10 +215,14 @@ def jaccard_components(
     known = info.where("doc IS NOT NULL AND n > 0")
     one = known.groupBy("doc").agg(F.max(F.struct("n", "bits", *PARITY)).alias("x")).select("doc", "x.*")
     links = pairs_of(texts.where("doc IS NOT NULL"), info, one, shingle, percent)
-    # equal sets are one class; its component is the least of its documents'
-    roots = known.select("doc", "s1", "s2").join(links.select(F.col("node").alias("doc"), "root"), "doc", "left")
-    # a repeated id joins the classes of its rows
-    classes = roots.groupBy("s1", "s2").agg(F.min(F.coalesce("root", "doc")).alias("component"))
+    # equal sets are one class, of which only some documents were linked: what a class or a repeated id
+    # holds together is joined once more, so that all classes of a root get the least document
+    linked = known.select("doc", "s1", "s2").join(links.select(F.col("node").alias("doc"), "root"), "doc", "left")
+    held = saved(linked.select("s1", "s2", F.coalesce("root", "doc").alias("id")).distinct(), "held")
+    classes = held.groupBy("s1", "s2").agg(F.min("id").alias("low"))
+    ties = held.join(classes, ["s1", "s2"]).where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    least = components(ties).select(F.col("node").alias("low"), F.col("root").alias("component"))
+    classes = classes.join(least, "low", "left").select("s1", "s2", F.coalesce("component", "low").alias("component"))
     labelled = info.join(classes, ["s1", "s2"], "left")
     return labelled.select(
         F.col("doc").alias("doc_id"),

@@ -123,6 +123,19 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert keep_one(docs).count() == 4
 
 
+@pytest.mark.parametrize("third", [20, 5, 1])
+def test_equal_sets_in_descending_order_beside_a_similar_one(spark, third):
+    text, other = prose(60, 1), prose(60, 2)
+    rows = [(7, text), (3, text), (third, "x " + text), (40, other), (30, other), (31, other + " x"), (30, text + " y z")]
+    docs = spark.createDataFrame(rows[:-1], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
+    assert got == {d: c for d, (_, c) in brute(rows[:-1]).items()}
+    assert {r.doc_id for r in keep_one(docs).collect()} == {min(3, third), 30}
+    # a repeated id joins both groups
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.component_id for r in jaccard_components(docs).collect()} == {min(3, third)}
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
