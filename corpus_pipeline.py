@@ -34,8 +34,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates."""
-    return _columns(jaccard.keep_one(docs))
+    """One document, that of the least id, of each group of near duplicates: five-word shingles, from 0.8."""
+    return _columns(jaccard.keep_one(docs, shingle=5, percent=80))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
