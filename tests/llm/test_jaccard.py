@@ -17,9 +17,9 @@ def shingles(text, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute(rows):
+def brute(rows, k=4, percent=85):
     """rows: (doc_id, text) -> doc_id: (size, component)."""
-    sets = {d: shingles(t) for d, t in rows}
+    sets = {d: shingles(t, k) for d, t in rows}
     parent = {d: d for d in sets}
 
     def root(x):
@@ -34,7 +34,7 @@ def brute(rows):
     pairs = {(a, b) for v in by.values() for a in v for b in v if a < b}
     for a, b in pairs:
         i = len(sets[a] & sets[b])
-        if 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+        if 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return {d: (len(s), root(d)) for d, s in sets.items()}

@@ -62,7 +62,7 @@ def test_every_stage_against_brute_force(spark, stages):
         if kept.strip() or not any(d == r[0] for d, _ in gone):
             want[r[0]] = kept
     assert {r[0]: r[1] for r in lines} == want
-    groups = brute_jaccard([(r[0], r[1]) for r in lines])
+    groups = brute_jaccard([(r[0], r[1]) for r in lines], k=5, percent=80)
     assert {r[0] for r in single} == {d for d, (_, c) in groups.items() if c == d}
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     cut = {r[0]: without_phrases(r[1], items) for r in single}
