@@ -21,6 +21,7 @@ MODULES = (
     "quotes",
     "pieces",
     "personal",
+    "packing",
 )
 
 
