@@ -22,6 +22,7 @@ MODULES = (
     "pieces",
     "personal",
     "packing",
+    "phrases",
     "prefix_trie",
 )
 
