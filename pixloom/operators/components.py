@@ -4,27 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixloom.functions.geometry import major_axis_angle
 from pixloom.operators.morphology import adaptive_threshold, close_open
 from pixloom.operators.pixels import in_region, white_band, with_brightness
-from pixloom.session import cut_lineage
+from pixloom.operators.tiles import TILE, map_tiles
+from pixloom.session import cut_lineage, remove, written
 
 # Column-major position of a pixel as one number; rows stay below 2**20.
 _STRIDE = 1 << 20
 
 
-def _vertical_runs(mask_pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every pixel with the start of its unbroken run down its column as ``node``."""
-    line = W.partitionBy(*keys, "col").orderBy("row")
-    island = F.col("row") - F.row_number().over(line)
-    tagged = mask_pixels.withColumn("__island", island)
-    start = F.min("row").over(W.partitionBy(*keys, "col", "__island"))
-    node = F.col("col").cast("long") * _STRIDE + start
-    return tagged.withColumn("__node", node).drop("__island")
+def _local_nodes(starts: np.ndarray, row: np.ndarray, col: np.ndarray, reach: int) -> np.ndarray:
+    """For each mask pixel of complete tiles the index of the first pixel, down the columns, of its part.
+
+    Pixels become vertical runs; runs of neighbouring columns that touch are joined by taking the
+    smaller root and jumping to it until nothing changes.
+    """
+    tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(row))))
+    high, wide = int(row.max()) + 4, int(col.max()) + 2
+    line = (tile * wide + col) * high
+    order = np.argsort(line + row, kind="stable")
+    at = (line + row)[order]
+    begin = np.ones(len(at), bool)
+    begin[1:] = np.diff(at) > 1
+    run = np.cumsum(begin) - 1
+    first = np.flatnonzero(begin)
+    lo, hi = at[first], at[np.append(first[1:], len(at)) - 1]
+    # the lines leave free rows behind, so a look to the next line never meets another one
+    below = np.searchsorted(hi, lo + high - reach)
+    above = np.searchsorted(lo, hi + high + reach, "right")
+    count = np.maximum(above - below, 0)
+    a = np.repeat(np.arange(len(lo)), count)
+    b = np.arange(int(count.sum())) + np.repeat(below - (np.cumsum(count) - count), count)
+    same = lo[b] // high // wide == lo[a] // high // wide
+    a, b = a[same], b[same]
+    root = np.arange(len(lo))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    out = np.zeros(len(row), np.int64)
+    out[order] = order[first[root[run]]]
+    return out
 
 
 def _contract(edges: DataFrame, keys: list[str], turn: int) -> tuple[DataFrame, DataFrame]:
@@ -50,48 +80,67 @@ def _contract(edges: DataFrame, keys: list[str], turn: int) -> tuple[DataFrame,
     return parent, edges
 
 
+def _seams(parts: DataFrame, keys: list[str], reach: int, tile: int) -> DataFrame:
+    """Pairs (a, b) of parts that touch across a border of tiles, in both directions."""
+    edge = lambda axis: (F.col(axis) % tile).isin(0, 1)
+    border = parts.where(edge("row") | edge("col")).select(*keys, "row", "col", "__node")
+    steps = [(1, 0), (0, 1)] + ([(1, 1), (1, -1)] if reach else [])
+    number = lambda axis: F.floor((F.col(axis) - 1) / tile)
+    to = F.explode(F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in steps]))
+    moved = border.select(*keys, F.col("__node").alias("a"), number("row").alias("__r"), number("col").alias("__c"), to.alias("to"))
+    moved = moved.select(*keys, "a", "__r", "__c", "to.row", "to.col").where(
+        (number("row") != F.col("__r")) | (number("col") != F.col("__c"))
+    )
+    met = moved.join(border.withColumnRenamed("__node", "b"), [*keys, "row", "col"]).select(*keys, "a", "b").distinct()
+    return met.unionByName(met.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _stitched(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, __node, __comp) of all parts in ``edges``; rounds are written, old ones removed."""
+    spark = edges.sparkSession
+    edges, old = written(edges, "seams")
+    nodes, old_nodes = written(edges.select(*keys, F.col("a").alias("__node"), F.col("a").alias("__comp")).distinct(), "stitches")
+    turn = 0
+    while not edges.isEmpty():
+        parent, left = _contract(edges, keys, turn)
+        step = parent.select(*keys, F.col("n").alias("__comp"), F.col("p").alias("__p"))
+        moved = nodes.join(step, [*keys, "__comp"], "left").select(*keys, "__node", F.coalesce("__p", "__comp").alias("__comp"))
+        nodes, new_nodes = written(moved, "stitches")
+        edges, new = written(left, "seams")
+        remove(spark, old, old_nodes)
+        old, old_nodes, turn = new, new_nodes, turn + 1
+    return nodes
+
+
 def label_components(
-    mask_pixels: DataFrame, connectivity: int = 4, keys: Sequence[str] = ("image_id",)
+    mask_pixels: DataFrame, connectivity: int = 4, keys: Sequence[str] = ("image_id",), tile: int = TILE
 ) -> DataFrame:
     """Add ``label`` (1..n per image) to mask pixels.
 
-    Labels are ranks of the components' first pixel in column-major order.
-    Pixels become vertical runs; touching runs of neighbouring columns are
-    edges; rounds of hooking every node to a neighbour contract the edges until
-    none is left, in about log(runs) rounds. Edges shrink every round and are checkpointed, so the plan
-    stays short and lost executors are recovered from the checkpoint.
+    Labels are ranks of the components' first pixel in column-major order. Pixels are dealt out once, by
+    tile; a task joins the runs within its tiles. Only parts that touch a border of tiles go on as
+    edges, and rounds of hooking every part to a neighbour contract those until none is left, in about
+    log(parts) rounds. The parts' labels are then joined back to the pixels.
     """
     keys = list(keys)
     reach = {4: 0, 8: 1}[connectivity]
-    pixels = _vertical_runs(mask_pixels, keys)
-    runs = pixels.groupBy(*keys, "col", "__node").agg(
-        F.min("row").alias("lo"), F.max("row").alias("hi")
-    )
-    left = runs.select(*keys, (F.col("col") + 1).alias("col"), F.col("__node").alias("a"),
-                       F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    right = runs.select(*keys, "col", F.col("__node").alias("b"), "lo", "hi")
-    touching = left.join(right, [*keys, "col"]).where(
-        (F.col("alo") <= F.col("hi") + reach) & (F.col("lo") <= F.col("ahi") + reach)
-    )
-    forward = touching.select(*keys, "a", "b")
-    edges = cut_lineage(forward.unionByName(forward.select(*keys, F.col("b").alias("a"),
-                                                           F.col("a").alias("b"))))
-    nodes = runs.select(*keys, F.col("__node"), F.col("__node").alias("__comp"))
-    turn = 0
-    while not edges.isEmpty():
-        parent, next_edges = _contract(edges, keys, turn)
-        turn += 1
-        step = parent.select(*keys, F.col("n").alias("__comp"), F.col("p").alias("__p"))
-        nodes = nodes.join(step, [*keys, "__comp"], "left").select(
-            *keys, "__node", F.coalesce("__p", "__comp").alias("__comp")
-        )
-        edges = cut_lineage(next_edges)
+
+    def nodes_of(starts, row, col, table):
+        first = _local_nodes(starts, row, col, reach)
+        code = table.column("col").to_numpy().astype(np.int64) * _STRIDE + table.column("row").to_numpy()
+        return [code[first]]
+
+    columns = [c for c in mask_pixels.columns if c != "label"]
+    dealt = map_tiles(mask_pixels.select(*columns), keys, nodes_of, [T.StructField("__node", T.LongType())], tile=tile)
+    parts, _ = written(dealt, "parts")
+    nodes = parts.select(*keys, "__node").distinct()
+    stitched = _stitched(_seams(parts, keys, reach, tile), keys)
+    nodes = nodes.join(stitched, [*keys, "__node"], "left").withColumn("__comp", F.coalesce("__comp", "__node"))
     heads = nodes.groupBy(*keys, "__comp").agg(F.min("__node").alias("__first"))
-    ranked = heads.withColumn(
-        "label", F.row_number().over(W.partitionBy(*keys).orderBy("__first"))
-    ).drop("__first")
+    label = F.row_number().over(W.partitionBy(*keys).orderBy("__first"))
+    ranked = heads.withColumn("label", label).drop("__first")
     labelled = nodes.join(ranked, [*keys, "__comp"]).drop("__comp")
-    return pixels.join(labelled, [*keys, "__node"]).drop("__node")
+    return parts.join(labelled, [*keys, "__node"]).drop("__node")
 
 
 def component_stats(

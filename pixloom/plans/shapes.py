@@ -289,6 +289,34 @@ def white_region(spark, sf):
     )
 
 
+_INSIDE = "y BETWEEN 2 AND 8 AND x BETWEEN 1 AND 7"
+
+
+@query(
+    "white_region_closed",
+    f"""WITH RECURSIVE {X.PX}, mpx AS (SELECT image_id, y, x, r >= 0.4 AND g >= 0.4 AND b >= 0.4
+      AND {_INSIDE} AS m FROM px), {_morph('dilate', 'mpx', 'd1', 1)}, {_morph('erode', 'd1', 'd2', 1)},
+    {_morph('erode', 'd2', 'd3', 1)}, {_morph('dilate', 'd3', 'd4', 1)},
+    lit AS (SELECT image_id, y, x FROM d4 WHERE m AND {_INSIDE}), {_components('lit', _FOUR)},
+    {_boxes(extra=', avg((r + g + b) / 3.0) AS mb', join='JOIN px USING (image_id, y, x)')},
+    sc AS (SELECT *, 0.5 * mb + 0.3 * least(density, 1.0) +
+      0.2 * exp(-abs(aspect_ratio - 5.0) / 5.0) AS score FROM box WHERE n >= 9
+      QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, label) = 1),
+    cnt AS (SELECT image_id, max(label) AS num FROM lab GROUP BY image_id)
+    SELECT i.image_id, CASE WHEN coalesce(num, 0) = 0 THEN 'no_component'
+      WHEN label IS NULL THEN 'too_small' ELSE 'found' END AS status,
+    coalesce(num, 0) AS num_components, coalesce(n, 0)::BIGINT AS size, {rnd('score')} AS score,
+    {rnd('coalesce(aspect_ratio, 0)')} AS aspect_ratio, {rnd('coalesce(density, 0)')} AS density
+    FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN cnt USING (image_id)
+    LEFT JOIN sc USING (image_id)""",
+)
+def white_region_closed(spark, sf):
+    """The mask is closed and opened with radius 1, then cut to the region a second time."""
+    box = (F.lit(2), F.lit(50), F.lit(-3), F.lit(7))
+    out = C.white_region(X.pixels(spark, sf), 0.4, min_area=9, radius=1, region=box)
+    return rounded(out.select("image_id", "status", "num_components", "size", "score", "aspect_ratio", "density"))
+
+
 @query(
     "white_region_adaptive",
     f"""WITH RECURSIVE {X.PX}, {_LOCAL}, lit AS (SELECT image_id, y, x FROM loc WHERE v > mu + 0.05

@@ -111,6 +111,65 @@ def test_labels_match_flood_fill(spark, reach):
         assert (got == want).all()
 
 
+@pytest.mark.parametrize("reach", [4, 8])
+def test_labels_across_tiles(spark, reach):
+    rng = np.random.default_rng(reach + 20)
+    frames, want = [], {}
+    for image, (h, w, share) in enumerate(((23, 31, 0.55), (9, 40, 0.7), (4, 4, 1.0), (30, 1, 0.8))):
+        cells = rng.random((h, w)) < share
+        frames.append(pixel_frame(spark, {"m": cells, "v": rng.random((h, w))}, image).where("m"))
+        want[image] = brute_labels(cells, reach)
+    px = frames[0]
+    for f in frames[1:]:
+        px = px.unionByName(f)
+    spiral = np.zeros((21, 21), dtype=bool)
+    for k in range(0, 10, 2):
+        spiral[k, k : 21 - k] = spiral[20 - k, k : 21 - k] = spiral[k : 21 - k, 20 - k] = spiral[k + 2 : 21 - k, k] = True
+        spiral[k + 2, k : k + 3] = True
+    px = px.unionByName(pixel_frame(spark, {"m": spiral, "v": spiral * 1.0}, 9).where("m"))
+    want[9] = brute_labels(spiral, reach)
+    rows = C.label_components(px.withColumn("label", F.lit("old")), reach, tile=5).collect()
+    got = {i: np.zeros_like(x) for i, x in want.items()}
+    for r in rows:
+        got[r["image_id"]][r["row"] - 1, r["col"] - 1] = r["label"]
+    assert all((got[i] == want[i]).all() for i in want) and "v" in rows[0]
+    assert C.label_components(px.limit(0), reach).count() == 0
+
+
+def test_stencils_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(M, "TILE", 6)
+    rng = np.random.default_rng(12)
+    cells, values = rng.random((19, 26)) < 0.6, rng.random((19, 26))
+
+    def square(a, k, change, outside):
+        wide = np.pad(a, k, constant_values=outside)
+        views = [wide[i : i + a.shape[0], j : j + a.shape[1]] for i in range(2 * k + 1) for j in range(2 * k + 1)]
+        return change(views, axis=0)
+
+    dilated = lambda a, k: square(a, k, np.any, False)
+    eroded = lambda a, k: square(a, k, np.all, False)
+    cases = [
+        (M.dilate, 3, dilated(cells, 3)),
+        (M.erode, 1, eroded(cells, 1)),
+        (M.close, 2, eroded(dilated(cells, 2), 2)),
+        (M.open_, 1, dilated(eroded(cells, 1), 1)),
+        (M.close_open, 1, dilated(eroded(eroded(dilated(cells, 1), 1), 1), 1)),
+    ]
+    px = pixel_frame(spark, {"m": cells, "v": values}, 1).unionByName(pixel_frame(spark, {"m": cells.T, "v": values.T}, 2))
+    for make, radius, want in cases:
+        rows = make(px.repartition(4), "m", radius).collect()
+        assert len(rows) == 2 * cells.size
+        assert all(r["m"] == (want if r["image_id"] == 1 else want.T)[r["row"] - 1, r["col"] - 1] for r in rows)
+    ones = square(np.ones(cells.shape), 4, np.sum, 0)
+    mean = square(values, 4, np.sum, 0) / ones
+    rows = M.local_mean(px, "v", 9).where("image_id = 1").collect()
+    assert max(abs(r["local_mean"] - mean[r["row"] - 1, r["col"] - 1]) for r in rows) < 1e-12
+    wide = np.pad(cells, 1)
+    edge = cells & ~(wide[:-2, 1:-1] & wide[2:, 1:-1] & wide[1:-1, :-2] & wide[1:-1, 2:])
+    assert on(M.contour(px.where("image_id = 1"), "m"), "contour") == {(r + 1, c + 1) for r, c in zip(*np.nonzero(edge))}
+    assert M.dilate(px.limit(0), "m", 1).count() == 0
+
+
 def test_oriented_box_of_a_bar(spark):
     px = white(spark, 20, 40, [(5, 9, 10, 34)]).where("r > 0.5").select("image_id", "row", "col")
     box = C.oriented_boxes(C.label_components(px)).first()
