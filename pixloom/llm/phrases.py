@@ -34,6 +34,7 @@ TOP = 2000
 SCALE = 2_000_000
 GROUP = 1 << 17  # suffixes of a group, at least
 GROUPS = 1 << 20  # at most so many groups, so that the heavy prefixes stay few; beyond, groups grow
+SEGMENT = 1 << 22  # words counted together
 BLOCK_CELLS = 1 << 16
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 27  # a byte each in a task that counts, a bit each in one that asks
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -227,9 +228,14 @@ def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarr
 
 
 def heavy_prefixes(texts: DataFrame, words: DataFrame, pairs: Pairs, total: int, group: int, seed: int) -> Prefixes:
-    """Count prefixes level by level, longer ones only where the shorter are heavy."""
+    """Find the prefixes of more than ``group`` suffixes level by level, longer ones only where the shorter are heavy.
+
+    A stretch of SEGMENT words reports a prefix only if it holds the share of it that half a group has of
+    all words. What goes unreported is less than half a group in sum, so every prefix of more than a group
+    is reported more than half a group of times, and a stretch reports at most 2 * total / group of them.
+    """
     prefixes = Prefixes(max(1, -(-total // group)))
-    # at most total / group of a level, which is at most GROUPS
+    # at most total / group of a level (2 * total / group of later ones), which is bounded by GROUPS
     top = np.array([r.id for r in words.where(F.col("f") > group).select("id").collect()], np.int64).view(U)
     while len(top) and len(prefixes.heavy) < LONGEST - 1:
         prefixes.heavy.append(Lookup(top))
@@ -238,15 +244,33 @@ def heavy_prefixes(texts: DataFrame, words: DataFrame, pairs: Pairs, total: int,
         level = len(prefixes.heavy)
 
         def count(batches, level=level):
+            held, seen = [(np.zeros(0, U), np.zeros(0, np.int64))], 0
+
+            def merged():
+                ids, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+                return ids, np.bincount(at, np.concatenate([h[1] for h in held]), len(ids)).astype(np.int64)
+
+            def report():
+                ids, counts = merged()
+                most = counts * (2 * total) >= group * seen
+                return pa.RecordBatch.from_arrays([pa.array(ids[most].view(np.int64)), pa.array(counts[most])], names=["id", "f"])
+
             for batch in batches:
                 for part, _ in stretches(batch, seed):
                     hashes = prefixes.hashes(columns := suffixes(part, pairs))
                     found = hashes[level][prefixes.is_heavy(level - 1, hashes[level - 1]) & (columns[level] != 0)]
-                    ids, counts = np.unique(found, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(counts)], names=["id", "f"])
+                    held.append(np.unique(found, return_counts=True))
+                    if len(held) > 16:
+                        held = [merged()]
+                    seen += len(part.ids)
+                    if seen >= SEGMENT:
+                        yield report()
+                        held, seen = [(np.zeros(0, U), np.zeros(0, np.int64))], 0
+            if seen:
+                yield report()
 
         counted = texts.mapInArrow(count, "id long, f long").groupBy("id").agg(F.sum("f").alias("f"))
-        top = np.array([r.id for r in counted.where(F.col("f") > group).select("id").collect()], np.int64).view(U)
+        top = np.array([r.id for r in counted.where(F.col("f") * 2 > group).select("id").collect()], np.int64).view(U)
     return prefixes
 
 

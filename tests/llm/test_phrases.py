@@ -100,6 +100,23 @@ def test_heavy_prefixes_deal_by_more_words():
     assert len(set(short.tolist())) == 1
 
 
+def test_every_heavy_prefix_is_found(spark, monkeypatch):
+    monkeypatch.setattr(module, "SEGMENT", 300)
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice("aaaabcd") for _ in range(40)) for _ in range(60)]
+    docs = documents(spark, lines, partitions=5).select("lang", "text")
+    words = module.vocabulary(docs, 0)
+    ids = {r.word: np.array([r.id], np.int64).view(U) for r in words.collect()}
+    for group in (60, 200, 600):
+        prefixes = module.heavy_prefixes(docs, words, module.Pairs(8), 2400, group, 0)
+        for size in range(1, 4):
+            counts = Counter(tuple(w[i : i + size]) for w in map(str.split, lines) for i in range(len(w) - size + 1))
+            for g, n in counts.items():
+                heavy = bool(prefixes.is_heavy(size - 1, prefixes.hashes([ids[x] for x in g])[-1])[0])
+                assert heavy or n <= group
+                assert not heavy or n > group // 2
+
+
 def test_empty_table_and_repeated_rows(spark):
     docs = documents(spark, ["q r s\nq r"] * 20, ids=[1] * 20)
     assert got(mine_phrases(docs)) == brute([("en", "q r s\nq r")] * 20)
