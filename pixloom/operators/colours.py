@@ -34,22 +34,31 @@ def _fill_absent(frame: DataFrame, measured: DataFrame, keys: Sequence[str]) ->
 def class_lch(
     pixels: DataFrame, classes: Sequence[str] = S.FOREGROUND_CLASSES, threshold: float = 0.5
 ) -> DataFrame:
-    """L, C, h medians and means per image and class under the class mask."""
+    """L, C, h medians and means per image and class under the class mask.
+
+    A class is a column of each measure, NULL off its mask, so one group per image serves all classes and
+    a class that an image lacks needs no further pass: NULL measures, a pixel count of 0.
+    """
     wanted = [c for c in classes if c != "background"]
-    members = F.filter(
-        F.array(*[F.when(F.col(S.p_col(c)) > threshold, F.lit(c)) for c in wanted]),
-        lambda c: c.isNotNull(),
-    )
-    values = with_lch(
-        pixels.select("image_id", "r", "g", "b", F.explode(members).alias("class"))
-    ).select("image_id", "class", *LCH)
-    measured = _lch_summary(values, ["image_id", "class"])
-    frame = (
-        pixels.select("image_id")
-        .distinct()
-        .select("image_id", F.explode(F.array(*[F.lit(c) for c in wanted])).alias("class"))
-    )
-    return _fill_absent(frame, measured, ["image_id", "class"])
+    coloured = with_lch(pixels.select("image_id", "r", "g", "b", *[S.p_col(c) for c in wanted]))
+    names = {c: {v: f"{v}_{c}" for v in LCH} for c in wanted}
+    values = coloured.select(
+        "image_id", *[F.when(F.col(S.p_col(c)) > threshold, F.col(v)).alias(n) for c in wanted for v, n in names[c].items()]
+    )
+    flat = [n for c in wanted for n in names[c].values()]
+    measured = exact_medians(values, ["image_id"], {n: f"{n}_median" for n in flat}, {f"{n}_mean": F.avg(n) for n in flat})
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("class"),
+                F.col(f"n_{names[c]['l']}").alias("pixel_count"),
+                *[F.col(f"{n}_{m}").alias(f"{v}_{m}") for m in ("mean", "median") for v, n in names[c].items()],
+            )
+            for c in wanted
+        ]
+    )
+    long = measured.select("image_id", F.explode(rows).alias("e"))
+    return long.select("image_id", "e.class", *[f"e.{v}_mean" for v in LCH], "e.pixel_count", *[f"e.{v}_median" for v in LCH])
 
 
 def polygon_lch(hits: DataFrame, polygons: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A key may own a large part of all rows, so nothing here sorts or collects a
 key's rows in a single task: ranks and running sums work block by block with
-small per-block offsets, and percentiles first bracket each rank with a
-mergeable sketch and then count only the values inside the bracket.
+small per-block offsets, and percentiles narrow the bracket of each rank by
+mergeable counts and gather only what is left.
 Joins carry no broadcast hints; AQE broadcasts a side when its measured size
 is below the threshold and shuffles (with skew splitting) otherwise.
 """
@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixloom.session import remove, written
+
 BLOCK = 4096
-SKETCH_ACCURACY = 10_000
+BRACKET = 1 << 15  # values of a key that are gathered for one rank
+DIGITS = 4096  # parts that a larger bracket is cut into
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -129,114 +132,138 @@ def blocked_rank(
     )
 
 
+def _narrowed(df: DataFrame, keys: list[str], slots, summary: DataFrame, limit: int, digits: int) -> DataFrame:
+    """Cut the brackets of more than ``limit`` values into ``digits`` parts and keep those with the rank.
+
+    One pass over the rows counts all such brackets of all keys; the counts merge before the shuffle, so a
+    key sends at most ``digits`` + 2 rows a rank from each task, and no task ever holds or orders a bracket.
+    """
+    at = range(len(slots))
+    wide = summary.where(F.greatest(*[F.col(f"__in_{i}") for i in at], F.lit(0)) > limit)
+    entry = [
+        F.when(
+            F.col(f"__in_{i}") > limit,
+            F.struct(
+                F.lit(i).alias("__slot"),
+                F.col(v).alias("__v"),
+                F.col(f"__lo_{i}").alias("__lo"),
+                F.col(f"__hi_{i}").alias("__hi"),
+                F.floor((F.col(f"n_{v}") - 1) * p).alias("__k"),
+            ),
+        )
+        for i, (v, _, p) in enumerate(slots)
+    ]
+    entries = F.filter(F.array(*entry), lambda e: e.isNotNull() & e["__v"].isNotNull())
+    rows = join_on(df, wide, keys).select(*keys, F.explode(entries).alias("__e")).select(*keys, "__e.*")
+    v, lo, hi, part = (F.col(f"__{c}") for c in ("v", "lo", "hi", "part"))
+    inside = F.least(F.floor((v - lo) / (hi - lo) * digits), F.lit(digits - 1))
+    counts = (
+        rows.withColumn("__part", F.when(v < lo, -1).when(v > hi, digits).otherwise(inside).cast("int"))
+        .groupBy(*keys, "__slot", "__k", "__part")
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+    )
+    by = W.partitionBy(*keys, "__slot").orderBy("__part").rowsBetween(W.unboundedPreceding, 0)  # at most digits + 2 rows
+    cum = counts.withColumn("__cum", F.sum("__n").over(by))
+    before = F.col("__cum") - F.col("__n")
+    first, second = ((F.col("__cum") > rank) & (before <= rank) for rank in (F.col("__k"), F.col("__k") + 1))
+    found = cum.groupBy(*keys, "__slot").agg(
+        *[F.max(F.when(first, F.col(c))).alias(a) for c, a in (("__part", "p1"), ("__least", "a1"), ("__most", "b1"), ("__n", "n1"))],
+        *[F.max(F.when(second, F.col(c))).alias(a) for c, a in (("__part", "p2"), ("__least", "a2"))],
+        F.max(F.when(first, before)).alias("below"),
+    )
+    # ranks in two parts are the last value of one and the first of the other, and so is a part of one value
+    apart = F.coalesce(F.col("p1") != F.col("p2"), F.lit(False))
+    found = found.select(
+        *keys,
+        "__slot",
+        F.when(apart, F.col("b1")).otherwise(F.col("a1")).alias("lo"),
+        F.when(apart, F.col("a2")).otherwise(F.col("b1")).alias("hi"),
+        F.when(apart | (F.col("a1") == F.col("b1")), 0).otherwise(F.col("n1")).cast("long").alias("in"),
+        "below",
+    )
+    parts = ("lo", "hi", "below", "in")
+    wanted = [F.max(F.when(F.col("__slot") == i, F.col(c))).alias(f"__f{c}_{i}") for i in at for c in parts]
+    joined = join_on(summary, found.groupBy(*keys).agg(*wanted), keys, "left")
+    joined = joined.withColumns({f"__{c}_{i}": F.coalesce(F.col(f"__f{c}_{i}"), F.col(f"__{c}_{i}")) for i in at for c in parts})
+    return joined.select(*summary.columns)
+
+
+def _read(e: Column) -> Column:
+    """Value at ``position`` of a slot: from the sorted ``values`` after ``below`` others, else between ``lo`` and ``hi``."""
+    k = F.floor(e["position"])
+    low = F.coalesce(F.get(e["values"], (k - e["below"]).cast("int")), e["lo"])
+    high = F.coalesce(F.get(e["values"], (k + 1 - e["below"]).cast("int")), e["hi"])
+    return F.when(e["position"] > k, low + (high - low) * (e["position"] - k)).otherwise(low)
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     columns: Mapping[str, Sequence[tuple[str, float]]],
     aggregates: Mapping[str, Column] | None = None,
-    accuracy: int = SKETCH_ACCURACY,
+    limit: int = BRACKET,
+    digits: int = DIGITS,
 ) -> DataFrame:
-    """Exact linearly interpolated percentiles, several columns and ranks at once.
-
-    ``columns`` maps a value column to ``[(output name, p), ...]``; NULL values
-    are ignored. ``aggregates`` adds ordinary aggregates of the same groups to
-    the first pass. One row per key, with ``n_<column>`` counts. First pass: a quantile sketch per key (map-side
-    merged, fixed size) brackets every rank. Second pass: rows below a bracket
-    collapse into one counter, values inside it are counted by distinct value,
-    rows above it are dropped. The rank is then read from those counts, of which
-    a bracket holds about ``4 / accuracy`` of a key plus ties.
+    """Exact linearly interpolated percentiles, several columns and ranks at once, by radix selection.
+
+    ``columns`` maps a value column to ``[(output name, p), ...]``; NULL values are ignored, values are
+    finite. ``aggregates`` adds ordinary aggregates of the same groups. One row per key, with
+    ``n_<column>`` counts. A first scan, which reads the keys only, counts the rows of every key. Where no key
+    has more than ``limit``, the second gathers their values. Else the rank of a larger key is bracketed, at first by its least
+    and greatest value: scan by scan a bracket is cut into ``digits`` parts that are only counted, until the part
+    with the rank has at most ``limit`` values, which the last scan gathers.
     """
-    keys = list(keys)
+    keys, extras = list(keys), [expr.alias(name) for name, expr in (aggregates or {}).items()]
+    slots = [(v, name, p) for v, outs in columns.items() for name, p in outs]
     grouped = keys or ["__all"]
-    if not keys:
-        df = df.withColumn("__all", F.lit(0))
-    columns = {c: list(outs) for c, outs in columns.items()}
-    values = list(columns)
-    slack = 2.0 / accuracy
-    source = df
-    df = df.select(*grouped, *[F.col(v).cast("double").alias(v) for v in values])
-
-    sketches = []
-    for v in values:
-        ranks = [q for _, p in columns[v] for q in (max(0.0, p - slack), min(1.0, p + slack))]
-        sketches.append(F.count(v).alias(f"__n_{v}"))
-        sketches.append(F.percentile_approx(F.col(v).cast("double"), ranks, accuracy).alias(f"__q_{v}"))
-        sketches.append(F.min(v).alias(f"__min_{v}"))
-        sketches.append(F.max(v).alias(f"__max_{v}"))
-    extras = [expr.alias(name) for name, expr in (aggregates or {}).items()]
-    summary = source.groupBy(*grouped).agg(*sketches, *extras)
-    bounds = summary.drop(*(aggregates or {}))
-
-    slots, meta = [], []
-    for vi, v in enumerate(values):
-        for pi, (_, p) in enumerate(columns[v]):
-            lo = F.when(F.lit(p <= slack), F.col(f"__min_{v}")).otherwise(
-                F.col(f"__q_{v}")[2 * pi]
-            )
-            hi = F.when(F.lit(p >= 1.0 - slack), F.col(f"__max_{v}")).otherwise(
-                F.col(f"__q_{v}")[2 * pi + 1]
-            )
-            # The two ranks read may lie one step outside the bracket, so the
-            # nearest value on either side of it is kept as well.
-            slots.append(
-                F.struct(
-                    F.lit(vi * 1000 + pi).alias("slot"),
-                    F.col(v).alias("v"),
-                    lo.alias("lo"),
-                    hi.alias("hi"),
-                )
-            )
-            meta.append((vi * 1000 + pi, v, p))
-
-    spread = join_on(df, bounds, grouped).select(*grouped, F.explode(F.array(*slots)).alias("__e"))
-    v, lo, hi = F.col("__e.v"), F.col("__e.lo"), F.col("__e.hi")
-    counts = (
-        spread.where(v.isNotNull())
-        .select(
-            *grouped,
-            F.col("__e.slot").alias("__slot"),
-            F.when(v < lo, F.lit(-1)).when(v <= hi, F.lit(0)).otherwise(F.lit(1)).alias("__side"),
-            F.when((v >= lo) & (v <= hi), v).alias("__inner"),
-            v.alias("__v"),
+    source = df if keys else df.withColumn("__all", F.lit(0))
+    sizes = [F.count(v).alias(f"n_{v}") for v in columns]
+    names = [f"n_{v}" for v in columns]
+    most = source.groupBy(*grouped).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+    double = {v: F.col(v).cast("double") for v in columns}
+    if most <= limit:
+        lists = [F.array_sort(F.collect_list(double[v])).alias(f"__values_{v}") for v in columns]
+        both = source.groupBy(*grouped).agg(*sizes, *lists, *extras)
+        values = {i: F.col(f"__values_{v}") for i, (v, _, _) in enumerate(slots)}
+        below = {i: F.lit(0).cast("long") for i in range(len(slots))}
+        lo = hi = {i: F.lit(None).cast("double") for i in range(len(slots))}
+    else:
+        ends = [f(double[v]).alias(f"__{n}_{v}") for v in columns for n, f in (("min", F.min), ("max", F.max))]
+        bracket = {}
+        for i, (v, _, _) in enumerate(slots):
+            least, greatest = F.col(f"__min_{v}"), F.col(f"__max_{v}")
+            bracket |= {f"__lo_{i}": least, f"__hi_{i}": greatest, f"__below_{i}": F.lit(0).cast("long")}
+            bracket[f"__in_{i}"] = F.when(least < greatest, F.col(f"n_{v}")).otherwise(0).cast("long")
+        summary = source.groupBy(*grouped).agg(*sizes, *ends, *extras).withColumns(bracket)
+        summary, old = written(summary.select(*grouped, *names, *(aggregates or {}), *bracket), "ranks")
+        df = source.select(*grouped, *[c.alias(v) for v, c in double.items()])
+        widest = F.max(F.greatest(*[F.col(f"__in_{i}") for i in range(len(slots))], F.lit(0)))
+        while (summary.agg(widest).first()[0] or 0) > limit:
+            summary, new = written(_narrowed(df, grouped, slots, summary, limit, digits), "ranks")
+            remove(df.sparkSession, old)
+            old = new
+        lists = []
+        for i, (v, _, _) in enumerate(slots):
+            held = F.col(v).between(F.col(f"__lo_{i}"), F.col(f"__hi_{i}")) & (F.col(f"__in_{i}") > 0)
+            lists.append(F.array_sort(F.collect_list(F.when(held, F.col(v)))).alias(f"__values_{i}"))
+        wanted = summary.select(*grouped, *[f"__{c}_{i}" for i in range(len(slots)) for c in ("lo", "hi", "in")])
+        gathered = join_on(df, wanted, grouped).groupBy(*grouped).agg(*lists)
+        both = join_on(summary, gathered, grouped, "left")
+        values, below, lo, hi = ({i: F.col(f"__{c}_{i}") for i in range(len(slots))} for c in ("values", "below", "lo", "hi"))
+    # one expression over an array of slots, as code for each slot would grow too large to compile
+    slot = [
+        F.struct(
+            values[i].alias("values"),
+            below[i].alias("below"),
+            lo[i].alias("lo"),
+            hi[i].alias("hi"),
+            ((F.col(f"n_{v}") - 1) * p).alias("position"),
         )
-        .groupBy(*grouped, "__slot", "__side", "__inner")
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.when(F.col("__side") < 0, F.max("__v")).otherwise(F.min("__v")).alias("__v"),
-        )
-    )
-    by_value = W.partitionBy(*grouped, "__slot").orderBy("__side", "__v")
-    cumulative = counts.withColumn(
-        "__cum", F.sum("__n").over(by_value.rowsBetween(W.unboundedPreceding, 0))
-    )
-    p_of = F.create_map(*[F.lit(x) for s, _, p in meta for x in (s, p)])
-    total = W.partitionBy(*grouped, "__slot")
-    position = p_of[F.col("__slot")] * (F.sum("__n").over(total) - 1)
-    reached = lambda rank: F.min(F.when(F.col("__cum") > rank, F.col("__v")))
-    ranked = (
-        cumulative.withColumn("__pos", position)
-        .withColumn("__k", F.floor("__pos"))
-        .groupBy(*grouped, "__slot", "__pos", "__k")
-        .agg(reached(F.col("__k")).alias("__a"), reached(F.col("__k") + 1).alias("__b"))
-    )
-    fraction = F.col("__pos") - F.col("__k")
-    value = F.when(
-        fraction > 0, F.col("__a") + (F.col("__b") - F.col("__a")) * fraction
-    ).otherwise(F.col("__a"))
-    outputs = []
-    for vi, v in enumerate(values):
-        for pi, (name, _) in enumerate(columns[v]):
-            outputs.append(
-                F.max(F.when(F.col("__slot") == vi * 1000 + pi, F.col("__value"))).alias(name)
-            )
-    picked = ranked.withColumn("__value", value).groupBy(*grouped).agg(*outputs)
-    counts_per_key = summary.select(
-        *grouped,
-        *[F.col(f"__n_{v}").alias(f"n_{v}") for v in values],
-        *[F.col(name) for name in (aggregates or {})],
-    )
-    result = join_on(counts_per_key, picked, grouped, "left")
-    return result if keys else result.drop("__all")
+        for i, (v, _, p) in enumerate(slots)
+    ]
+    both = both.withColumn("__read", F.transform(F.array(*slot), _read))
+    outputs = [F.get("__read", F.lit(i)).alias(name) for i, (_, name, _) in enumerate(slots)]
+    return both.select(*keys, *names, *(aggregates or {}), *outputs)
 
 
 def exact_medians(

@@ -59,12 +59,12 @@ def test_percentiles_match_numpy(spark, rows):
 
 
 def test_percentiles_of_one_dominant_key(spark):
-    """Coarse sketches force the bracket to be searched; the answer stays exact."""
+    """A small limit narrows brackets many times; the answer stays exact."""
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"k": np.where(rng.random(30_000) < 0.6, 0, rng.integers(1, 9, 30_000)),
                         "x": rng.normal(size=30_000).round(2)})
     out = scale.exact_percentiles(
-        spark.createDataFrame(pdf), ["k"], {"x": [("m", 0.5), ("q", 0.99)]}, accuracy=50
+        spark.createDataFrame(pdf), ["k"], {"x": [("m", 0.5), ("q", 0.99)]}, limit=50, digits=16
     ).toPandas().set_index("k")
     g = pdf.groupby("k").x
     assert (out.m - g.median()).abs().max() < 1e-12
@@ -110,3 +110,34 @@ def test_masked_stats_without_pixels_are_zero(spark):
     df = pixel_frame(spark, {c: np.ones((2, 2)) for c in "rgb"})
     r = stats.masked_channel_stats(df, F.lit(False)).first()
     assert (r["r_mean"], r["r_std"], r["r_skew"], r["pixel_count"]) == (0, 0, 0, 0)
+
+
+def test_percentiles_narrow_wide_brackets_and_meet_ties(spark):
+    from pixloom.operators.scale import exact_percentiles
+
+    rng = np.random.default_rng(21)
+    groups = {
+        "normal": rng.normal(size=3000),
+        "ties": np.repeat([0.0, 1.0, 1.5], [1500, 20, 480]),
+        "zeros and tail": np.concatenate([np.zeros(1800), rng.random(200) * 1e-3, rng.random(5) * 1e9]),
+        "few": np.array([3.0, 1.0, 2.0]),
+        "one": np.array([7.0]),
+        "steps": rng.integers(0, 4, 999).astype(float),
+    }
+    rows = [(k, float(v), None if i % 7 == 3 else float(v) * 2) for k, vs in groups.items() for i, v in enumerate(vs)]
+    rows += [("empty", None, None), (None, 4.0, None), (None, 6.0, None)]
+    df = spark.createDataFrame(rows, "k string, v double, w double").repartition(5)
+    ps = [("p0", 0.0), ("p25", 0.25), ("p50", 0.5), ("p99", 0.99), ("p100", 1.0)]
+    for options in ({}, {"limit": 25, "digits": 5}, {"limit": 2, "digits": 3}):
+        got = {r["k"]: r for r in exact_percentiles(df, ["k"], {"v": ps, "w": [("w50", 0.5)]}, **options).collect()}
+        assert len(got) == 8
+        for k, vs in groups.items():
+            want = np.percentile(vs, [p * 100 for _, p in ps])
+            assert np.allclose([got[k][n] for n, _ in ps], want, rtol=1e-12, atol=1e-12), (k, options)
+            kept = [v * 2 for i, v in enumerate(vs) if i % 7 != 3]
+            assert got[k]["w50"] == pytest.approx(np.median(kept)) and got[k]["n_w"] == len(kept)
+        assert got["empty"]["p50"] is None and got["empty"]["n_v"] == 0
+        assert got[None]["p50"] == 5.0 and got[None]["w50"] is None
+        whole = exact_percentiles(df, [], {"v": [("p75", 0.75)]}, **options).first()
+        assert whole["p75"] == pytest.approx(np.percentile([r[1] for r in rows if r[1] is not None], 75))
+    assert exact_percentiles(df.limit(0), ["k"], {"v": ps}).count() == 0
