@@ -60,6 +60,60 @@ def error_rollup_batch(spark, sf):
     return rounded(T.rollup_batch(events, 64, "error"))
 
 
+_CHUNKS = 4
+_CONTROLLED = f"""WITH n AS (SELECT count(*) AS total FROM events),
+    e AS (SELECT event_type AS run_id, value, ts, event_id,
+      CASE WHEN event_id % 211 = 0 THEN 'reset' WHEN event_id = total * 5 // 8 THEN 'stop' ELSE 'observation' END AS kind,
+      event_id * {_CHUNKS} // total AS chunk FROM events, n),
+    here AS (SELECT *, sum((kind = 'stop')::INT) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS ended,
+      sum((kind = 'reset')::INT) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS epoch FROM e WHERE chunk <= 2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY run_id, epoch ORDER BY ts, event_id) AS i,
+      count(*) OVER (PARTITION BY run_id, epoch) AS m FROM here WHERE kind = 'observation' AND ended = 0),
+    per AS (SELECT run_id, epoch, max(m) // 6 AS k FROM o GROUP BY ALL),
+    done AS (SELECT run_id, epoch, coalesce(sum(k) OVER (PARTITION BY run_id ORDER BY epoch
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k0 FROM per)
+    SELECT run_id, (k0 + (i - 1) // 6)::BIGINT AS emission, {rnd('value')} AS value, i * 3 AS observation
+    FROM o JOIN done USING (run_id, epoch) WHERE ((i - 1) // 6 + 1) * 6 <= m"""
+
+
+def _controlled(spark, sf):
+    """Events as observations of delta 3, some turned into resets, one into the stop of its run, in chunks.
+
+    A run named control, read with the third chunk, asks the query as a whole to stop.
+    """
+    events = X.table(spark, sf, "events")
+    total = events.count()
+    kind = F.when(F.col("seq") % 211 == 0, "reset").when(F.col("seq") == total * 5 // 8, "stop").otherwise("observation")
+    rows = X.telemetry(events).withColumn("kind", kind).withColumn("observation_delta", F.lit(3).cast("long"))
+    rows = rows.withColumn("chunk", F.floor(F.col("seq") * _CHUNKS / total))
+    control = rows.where("chunk = 2").groupBy().agg(F.max("ts").alias("ts"), F.max("seq").alias("seq"))
+    control = control.select(
+        F.lit("control").alias("run_id"), "ts", F.lit("stop").alias("kind"),
+        F.lit(0.0).alias("error"), F.lit(0.0).alias("absolute_performance"), F.lit(0).cast("long").alias("observation_delta"),
+        "seq", F.lit(2).cast("long").alias("chunk"),
+    )
+    return rows.unionByName(control)
+
+
+@query("controlled_rollup", _CONTROLLED)
+def controlled_rollup(spark, sf):
+    """Resets and stops over several micro-batches; the fourth is never handled."""
+    rows, path = _controlled(spark, sf), scratch_path(spark, "controlled")
+    for chunk in range(_CHUNKS):  # one file after the other, as a stream reads files by their time
+        rows.where(F.col("chunk") == chunk).drop("chunk").coalesce(1).sortWithinPartitions("ts", "seq").write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.drop("chunk").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    T.run_until_stop(T.rollup(stream, 17, "error"), f"{path}/out", f"{path}/state", "control")
+    out = spark.read.parquet(f"{path}/out").where("kind = 'item'")
+    return rounded(out.select("run_id", "emission", "value", "observation"))
+
+
+@query("controlled_rollup_batch", _CONTROLLED)
+def controlled_rollup_batch(spark, sf):
+    """The batch form over what the stream has handled."""
+    rows = _controlled(spark, sf).where("chunk <= 2")
+    return rounded(T.rollup_batch(rows, 17, "error"))
+
+
 _RATE = """SELECT event_type AS run_id, to_timestamp(floor(epoch(ts) / {s}) * {s})::TIMESTAMP AS window_start,
     count(*)::BIGINT AS observations, {rate} AS rate, {last} AS last_error FROM events GROUP BY 1, 2"""
 

@@ -7,14 +7,16 @@ orders rows of one time.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pixloom.operators.scale import blocked_rank
 
@@ -22,92 +24,176 @@ TELEMETRY_SCHEMA = (
     "run_id string, ts timestamp, kind string, error double,"
     " absolute_performance double, observation_delta bigint, seq bigint"
 )
-_OUT = "run_id string, emission bigint, value double, observation bigint"
-_STATE = (
-    "total bigint, due bigint, emission bigint,"
-    " buffered array<double>, positions array<bigint>"
-)
+_OUT = "run_id string, kind string, emission bigint, value double, observation bigint"
+_ITEM = ["run_id", "emission", "value", "observation"]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+class Feed:
+    """What a run has so far: observations, those due until the next emission, emissions, and whether it ended.
+
+    ``take`` goes through rows in order. A reset forgets the buffered items and the observations, a stop
+    ends the run for good. An emission comes as soon as ``limit`` observations have arrived since the last.
+    """
 
-def _step(state: list, rows, limit: int, value: str, first_only: bool):
-    """Feed rows into (total, due, emission, values, positions); yield emitted rows."""
-    for row in rows:
-        if row.kind == "reset":
-            state[0], state[1], state[3], state[4] = 0, limit, [], []
-            continue
-        if row.kind == "stop":
-            continue
-        state[0] += int(row.observation_delta)
-        state[1] -= int(row.observation_delta)
-        if not (first_only and state[3]):
-            state[3].append(float(getattr(row, value)))
-            state[4].append(state[0])
-        if state[1] <= 0:
-            for v, position in zip(state[3], state[4], strict=True):
-                yield state[2], v, position
-            state[1], state[3], state[4] = limit, [], []
-            state[2] += 1
-
-
-def _rollup(stream: DataFrame, limit: int, value: str, first_only: bool) -> DataFrame:
-    def update(
-        key, frames: Iterator[pd.DataFrame], group: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if group.exists:
-            total, due, emission, buffered, positions = group.get
-            state = [total, due, emission, list(buffered), list(positions)]
+    def __init__(self, limit: int, first_only: bool, counters=None, values=(), positions=()):
+        self.limit, self.first_only = limit, first_only
+        self.total, self.due, self.emission, self.ended = counters or (0, limit, 0, False)
+        self.values, self.positions = list(values), list(positions)
+
+    def counters(self) -> tuple:
+        return self.total, self.due, self.emission, self.ended
+
+    def take(self, kinds: np.ndarray, values: np.ndarray, deltas: np.ndarray) -> Iterator[tuple]:
+        """(kind, emission, values, positions) of every emission and control event."""
+        controls = np.flatnonzero(kinds != "observation")
+        start = 0
+        for at in [*controls.tolist(), len(kinds)]:
+            if self.ended:
+                return
+            yield from self._observed(values[start:at], deltas[start:at])
+            if at < len(kinds):
+                self.total, self.due, self.values, self.positions = 0, self.limit, [], []
+                self.ended = kinds[at] == "stop"
+                yield kinds[at], self.emission, [], []
+            start = at + 1
+
+    def _observed(self, values: np.ndarray, deltas: np.ndarray) -> Iterator[tuple]:
+        reached = np.cumsum(deltas)
+        start, before = 0, 0
+        while start < len(values):
+            end = int(np.searchsorted(reached, before + self.due)) + 1
+            done, end = end <= len(values), min(end, len(values))
+            kept = end if not self.first_only else min(end, start + (not self.values))
+            self.values += values[start:kept].tolist()
+            self.positions += (self.total + reached[start:kept] - before).tolist()
+            gone = int(reached[end - 1]) - before
+            self.total, self.due, before, start = self.total + gone, self.due - gone, int(reached[end - 1]), end
+            if done:
+                yield "item", self.emission, self.values, self.positions
+                self.due, self.values, self.positions, self.emission = self.limit, [], [], self.emission + 1
+
+
+def _columns(frame: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kinds = frame["kind"].to_numpy(dtype=object)
+    return kinds, frame[value].to_numpy(dtype=float), frame["observation_delta"].fillna(0).to_numpy(dtype=np.int64)
+
+
+def _rows(run: str, emitted: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    for kind, emission, values, positions in emitted:
+        if kind != "item":
+            values, positions = [None], [None]
+        yield pd.DataFrame(
+            {"run_id": run, "kind": kind, "emission": emission, "value": pd.array(values, "Float64"), "observation": pd.array(positions, "Int64")}
+        )
+
+
+class RollupProcessor(StatefulProcessor):
+    """Keeps the counters of a run as a value and its buffered items as a list, of less than ``limit`` observations."""
+
+    def __init__(self, limit: int, value: str, first_only: bool):
+        self.limit, self.value, self.first_only = limit, value, first_only
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counters = handle.getValueState("counters", "total bigint, due bigint, emission bigint, ended boolean")
+        self.items = handle.getListState("items", "value double, position bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        buffered = list(self.items.get()) if self.items.exists() else []
+        counters = self.counters.get() if self.counters.exists() else None
+        feed = Feed(self.limit, self.first_only, counters, (v for v, _ in buffered), (p for _, p in buffered))
+        for frame in rows:  # as they come: what is held is one frame and the buffered items
+            yield from _rows(key[0], feed.take(*_columns(frame.sort_values(["ts", "seq"], kind="stable"), self.value)))
+        self.counters.update(feed.counters())
+        if feed.values:
+            self.items.put(list(zip(feed.values, feed.positions, strict=True)))
         else:
-            state = [0, limit, 0, [], []]
-        # One micro-batch of one run is ordered by time; batches follow each other.
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        out = [
-            (key[0], n, v, p)
-            for n, v, p in _step(state, rows.itertuples(), limit, value, first_only)
-        ]
-        group.update(tuple(state))
-        yield pd.DataFrame(out, columns=["run_id", "emission", "value", "observation"])
-
-    return stream.groupBy("run_id").applyInPandasWithState(
-        update, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
+            self.items.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def rollup(stream: DataFrame, limit: int, value: str, first_only: bool = False) -> DataFrame:
+    """Emitted items (``kind`` item) and the control events that were met (reset, stop), per run.
+
+    A micro-batch's rows of a run are taken in the order in which they arrive, so they should come from
+    one ordered partition or file; within a frame they are ordered by time and seq.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream.groupBy("run_id").transformWithStateInPandas(
+        RollupProcessor(limit, value, first_only), _OUT, outputMode="Append", timeMode="None"
     )
 
 
+def _items(rolled: DataFrame) -> DataFrame:
+    return rolled.where("kind = 'item'").select(*_ITEM)
+
+
 def error_rollup(stream: DataFrame, limit: int) -> DataFrame:
     """Emit the buffered (error, cumulative observation) once ``limit`` observations arrived."""
-    return _rollup(stream, limit, "error", False)
+    return _items(rollup(stream, limit, "error"))
 
 
 def performance_rollup(stream: DataFrame, limit: int) -> DataFrame:
     """The same for throughput."""
-    return _rollup(stream, limit, "absolute_performance", False)
+    return _items(rollup(stream, limit, "absolute_performance"))
 
 
 def snapshot_sample(stream: DataFrame, limit: int, value: str = "error") -> DataFrame:
     """The first item of every ``limit`` observations."""
-    return _rollup(stream, limit, value, True)
+    return _items(rollup(stream, limit, value, True))
 
 
-def rollup_batch(events: DataFrame, limit: int, value: str) -> DataFrame:
-    """Batch form for unit observations: item n belongs to emission (n-1) div limit;
-    an unfinished last emission is not shown.
+def rollup_batch(events: DataFrame, limit: int, value: str, first_only: bool = False) -> DataFrame:
+    """The same results from a table: deltas, resets and stops count as in the stream.
 
-    Items are numbered in (minute, time, seq) pieces, so a long run is spread over tasks.
+    Where an emission ends depends on where the one before did, so a run passes through one task, sorted
+    by Spark and frame by frame; an emission that is not complete at the end is not shown.
     """
-    numbered = blocked_rank(
-        events,
-        ["run_id"],
-        [("m", F.date_trunc("minute", F.col("ts")))],
-        ["ts", "seq"],
-        "observation",
-    )
-    sizes = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    emission = F.floor((F.col("observation") - 1) / limit)
-    return (
-        numbered.join(sizes, "run_id")
-        .withColumn("emission", emission)
-        .where((F.col("emission") + 1) * limit <= F.col("n"))
-        .select("run_id", "emission", F.col(value).alias("value"), "observation")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, feed = None, None
+        for frame in frames:
+            for name, rows in frame.groupby("run_id", sort=False):
+                if feed is None or name != last:
+                    last, feed = name, Feed(limit, first_only)
+                yield from _rows(name, feed.take(*_columns(rows, value)))
+
+    columns = events.select("run_id", "ts", "seq", "kind", value, "observation_delta").where("run_id is not null")
+    dealt = columns.repartition("run_id").sortWithinPartitions("run_id", "ts", "seq")
+    return _items(dealt.mapInPandas(run, _OUT))
+
+
+def run_until_stop(
+    rolled: DataFrame, path: str, checkpoint: str, control: str, poll: float = 0.2
+) -> StreamingQuery:
+    """Write a roll-up batch by batch until a stop event of the run ``control`` has come, then end the query.
+
+    Each batch replaces its own folder, so one that is retried is not counted twice. Batches behind the
+    one with the stop event are left unhandled.
+    """
+    ended = threading.Event()
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if ended.is_set():
+            return
+        folder = f"{path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        met = batch.sparkSession.read.schema(batch.schema).parquet(folder)
+        if not met.where((F.col("kind") == "stop") & (F.col("run_id") == control)).isEmpty():
+            ended.set()
+
+    query = (
+        rolled.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+    while query.isActive and not ended.is_set():
+        query.awaitTermination(poll)
+    if ended.is_set():
+        query.stop()
+    elif query.exception() is not None:
+        raise query.exception()
+    return query
 
 
 def throughput(events: DataFrame, seconds: int = 5, watermark: str | None = "1 minute"):
@@ -219,14 +305,6 @@ def fan_out(
     )
 
 
-def stop_on_event(query: StreamingQuery, events: DataFrame) -> bool:
-    """Stop a query once its run's control table holds a stop event."""
-    if events.where("kind = 'stop'").isEmpty():
-        return False
-    query.stop()
-    return True
-
-
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain what is available into Parquet and return it as a table."""
     query = (

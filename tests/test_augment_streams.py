@@ -158,6 +158,53 @@ def test_reset_clears_history(spark, tmp_path):
     assert got == [(0, 2, 4.0), (0, 4, 5.0), (0, 6, 6.0)]
 
 
+def walked(rows, limit, first_only):
+    """The state machine row by row."""
+    total, due, emission, held, out = 0, limit, 0, [], []
+    for _, _, kind, value, _, delta, _ in rows:
+        if kind != "observation":
+            total, due, held = 0, limit, []
+            if kind == "stop":
+                break
+            continue
+        total, due = total + delta, due - delta
+        if not (first_only and held):
+            held.append((total, value))
+        if due <= 0:
+            out += [(emission, p, v) for p, v in held]
+            due, held, emission = limit, [], emission + 1
+    return out
+
+
+@pytest.mark.parametrize("first_only", [False, True])
+def test_stream_batch_and_walk_agree_on_deltas_resets_and_stops(spark, tmp_path, first_only):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(1, 400):
+        kind = "stop" if k == 390 else "reset" if rng.random() < 0.03 else "observation"
+        rows.append(("run", k, kind, float(k), 10.0 * k, int(rng.integers(0, 6)), k))
+    want = sorted(walked(rows, 9, first_only))
+    make = lambda s: T.rollup(s, 9, "error", first_only).where("kind = 'item'")
+    assert replay(spark, [rows[:1], rows[1:130], rows[130:131], rows[131:]], tmp_path, make) == want
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("sec")).repartition(5)
+    got = T.rollup_batch(frame, 9, "error", first_only).collect()
+    assert sorted((r["emission"], r["observation"], r["value"]) for r in got) == want and len(want) > 40
+    assert T.rollup_batch(frame.limit(0), 9, "error").count() == 0
+
+
+def test_stop_of_the_control_run_ends_the_query(spark, tmp_path):
+    inbox = tmp_path / "in"
+    for k in range(4):
+        rows = rows_of([1, 1, 1, 1]) + ([("control", 9, "stop", None, None, 0, 9)] if k == 1 else [])
+        frame = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("sec"))
+        frame.coalesce(1).write.mode("append").parquet(str(inbox))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(inbox))
+    query = T.run_until_stop(T.rollup(stream, 2, "error"), str(tmp_path / "out"), str(tmp_path / "state"), "control")
+    assert not query.isActive
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.where("kind = 'item'").count() == 8 and out.where("kind = 'stop'").count() == 1
+
+
 def test_snapshot_is_the_first_item(spark, tmp_path):
     got = replay(spark, [rows_of([2] * 6)], tmp_path, lambda s: T.snapshot_sample(s, 4))
     assert [v for _, _, v in got] == [1.0, 3.0, 5.0]
