@@ -16,7 +16,7 @@ from pixloom import schema as S
 from pixloom.functions.scalars import clamp, draw_index, uniform
 from pixloom.operators import resample
 from pixloom.operators.pixels import to_pixels
-from pixloom.operators.scale import blocked_cumsum, blocked_rank
+from pixloom.operators.scale import blocked_cumsum, blocked_rank, uniform_rank
 from pixloom.session import cut_lineage
 
 # Default target distribution, foreground limits, elastic constants, cycle.
@@ -549,13 +549,7 @@ def balanced_dataset(
 def _finish_lineage(stage: DataFrame, seed: int, window, created_at=None) -> DataFrame:
     """Final column set; ``augmented_index`` follows a hash shuffle of the samples."""
     order = uniform(seed, "shuffle", F.col("sample_id"))
-    shuffled = blocked_rank(
-        stage.withColumn("__o", order),
-        [],
-        [("b", F.floor(F.col("__o") * 1024))],
-        ["__o", "sample_id"],
-        "augmented_index",
-    )
+    shuffled = uniform_rank(stage.withColumn("__o", order), "__o", ["sample_id"], "augmented_index")
     stamp = F.current_timestamp() if created_at is None else created_at
     out = shuffled.withColumns(
         {
@@ -754,6 +748,12 @@ def shuffle_rows(df: DataFrame, seed: int, ids: Sequence[str]) -> DataFrame:
     return df.orderBy(uniform(seed, "shuffle", *[F.col(c) for c in ids]), *ids)
 
 
+def shuffled_places(df: DataFrame, seed: int, ids: Sequence[str], out: str = "place") -> DataFrame:
+    """The place of every row in the order of ``shuffle_rows``, without sorting the table as a whole."""
+    drawn = df.withColumn("__draw", uniform(seed, "shuffle", *[F.col(c) for c in ids]))
+    return uniform_rank(drawn, "__draw", ids, out).drop("__draw")
+
+
 def first_n(df: DataFrame, order: str, n: int = 100) -> DataFrame:
     return df.orderBy(order).limit(n)
 

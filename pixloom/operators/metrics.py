@@ -5,7 +5,8 @@ Predictions are pixels with ``logits`` and ``truth`` arrays in class order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,62 +16,119 @@ EPSILON = 2.0**-23
 
 
 def _scored(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    """Softmax probabilities ``__p0..`` and truths ``__y0..``.
+    """Softmax probabilities ``__p0..``, truths ``__y0..`` and raw outputs ``__z0..``.
 
     One projection per step: each value is used several times by the next step, so
     the exponentials are computed once per pixel and class.
     """
-    truth = [f"__y{i}" for i in range(n)]
+    given = [f"__{k}{i}" for k in "yz" for i in range(n)]
     raw = df.select(
         *keys,
+        *[F.col("truth")[i].alias(f"__y{i}") for i in range(n)],
         *[F.col("logits")[i].alias(f"__z{i}") for i in range(n)],
-        *[F.col("truth")[i].alias(y) for i, y in enumerate(truth)],
     )
     top = F.greatest(*[F.col(f"__z{i}") for i in range(n)])
     exps = raw.select(
-        *keys, *truth, *[F.exp(F.col(f"__z{i}") - top).alias(f"__e{i}") for i in range(n)]
+        *keys, *given, *[F.exp(F.col(f"__z{i}") - top).alias(f"__e{i}") for i in range(n)]
     )
     total = sum(F.col(f"__e{i}") for i in range(n))
     return exps.select(
-        *keys, *truth, *[(F.col(f"__e{i}") / total).alias(f"__p{i}") for i in range(n)]
+        *keys, *given, *[(F.col(f"__e{i}") / total).alias(f"__p{i}") for i in range(n)]
     )
 
 
-def _pixel_loss(n: int, weights: Sequence[float] | None, gamma: float | None) -> Column:
-    """Loss of one scored pixel: optional class weights and focal exponent."""
-    weights = [1.0] * n if weights is None else list(weights)
-    total = F.lit(0.0)
-    for i, w in enumerate(weights):
-        p = F.col(f"__p{i}")
-        term = -F.col(f"__y{i}") * F.ln(p + EPSILON) * w
-        total = total + (term if gamma is None else term * F.pow(1.0 - p, F.lit(gamma)))
-    return total
+@dataclass(frozen=True)
+class Metric:
+    """A measure of one pixel and how the pixels of a group are summed up.
 
+    ``pixel`` gets the probabilities, the truths and the raw outputs of all classes as columns.
+    """
+
+    pixel: Callable[[list[Column], list[Column], list[Column]], Column]
+    over: Callable[[Column], Column] = F.avg
+
+
+METRICS: dict[str, Callable[..., Metric]] = {}
+
+
+def metric(name: str):
+    """Register a maker of metrics under a name; one of the same name is replaced."""
+
+    def register(make: Callable[..., Metric]) -> Callable[..., Metric]:
+        METRICS[name] = make
+        return make
+
+    return register
+
+
+def _entropy(weights: Sequence[float] | None, gamma: float | None) -> Metric:
+    def pixel(p, y, z):
+        if weights is not None and len(weights) != len(p):
+            raise ValueError(f"{len(weights)} weights for {len(p)} classes")
+        total = F.lit(0.0)
+        for i in range(len(p)):
+            term = -y[i] * F.ln(p[i] + EPSILON) * (1.0 if weights is None else weights[i])
+            total = total + (term if gamma is None else term * F.pow(1.0 - p[i], F.lit(gamma)))
+        return total
+
+    return Metric(pixel)
+
+
+@metric("cross_entropy")
+def plain_entropy() -> Metric:
+    return _entropy(None, None)
+
+
+@metric("weighted_cross_entropy")
+def weighted_entropy(weights: Sequence[float]) -> Metric:
+    return _entropy(weights, None)
+
+
+@metric("focal_cross_entropy")
+def focal_entropy(weights: Sequence[float], gamma: float = 2.0) -> Metric:
+    return _entropy(weights, gamma)
 
-def _mean_loss(df, n: int, name: str, keys, weights=None, gamma=None) -> DataFrame:
+
+@metric("quadratic_error")
+def squares() -> Metric:
+    """Squares of raw outputs against truth, no softmax, summed over the pixels."""
+    return Metric(lambda p, y, z: sum(F.pow(a - b, 2) for a, b in zip(z, y, strict=True)), F.sum)
+
+
+def evaluate(
+    df: DataFrame, n: int, metrics: Mapping[str, Metric] | Sequence[str], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Any number of metrics in one pass and one aggregation.
+
+    ``metrics`` maps output names to metrics, or names registered makers that need no arguments.
+    """
+    if not isinstance(metrics, Mapping):
+        unknown = [m for m in metrics if m not in METRICS]
+        if unknown:
+            raise ValueError(f"unknown metrics: {unknown}")
+        metrics = {m: METRICS[m]() for m in metrics}
     keys = list(keys)
-    scored = _scored(df, n, keys)
-    return scored.groupBy(*keys).agg(F.avg(_pixel_loss(n, weights, gamma)).alias(name))
+    columns = [[F.col(f"__{k}{i}") for i in range(n)] for k in "pyz"]
+    return _scored(df, n, keys).groupBy(*keys).agg(*[m.over(m.pixel(*columns)).alias(name) for name, m in metrics.items()])
 
 
 def cross_entropy(df: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
-    return _mean_loss(df, n, "cross_entropy", keys)
+    return evaluate(df, n, {"cross_entropy": plain_entropy()}, keys)
 
 
 def weighted_cross_entropy(df: DataFrame, weights: Sequence[float], keys: Sequence[str] = ()):
-    return _mean_loss(df, len(weights), "weighted_cross_entropy", keys, weights)
+    return evaluate(df, len(weights), {"weighted_cross_entropy": weighted_entropy(weights)}, keys)
 
 
 def focal_cross_entropy(
     df: DataFrame, weights: Sequence[float], gamma: float = 2.0, keys: Sequence[str] = ()
 ) -> DataFrame:
-    return _mean_loss(df, len(weights), "focal_cross_entropy", keys, weights, gamma)
+    return evaluate(df, len(weights), {"focal_cross_entropy": focal_entropy(weights, gamma)}, keys)
 
 
 def quadratic_error(df: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
     """Summed squares of raw outputs against truth, no softmax."""
-    total = sum(F.pow(F.col("logits")[i] - F.col("truth")[i], 2) for i in range(n))
-    return df.groupBy(*keys).agg(F.sum(total).alias("quadratic_error"))
+    return evaluate(df, n, {"quadratic_error": squares()}, keys)
 
 
 def _per_class(df, classes, threshold: float, keys, measures) -> DataFrame:
@@ -137,6 +195,22 @@ def iou_loss(
     return _per_class(df, classes, threshold, keys, measures)
 
 
+def iou_losses(
+    df: DataFrame, classes: Sequence[str], threshold: float = 0.5, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Both forms of the loss in one pass: ``iou_loss`` by class, ``elementwise`` pixel by pixel."""
+
+    def measures(hit, real):
+        tp, union = F.count_if(hit & real), F.count_if(hit | real)
+        missed = F.avg(F.when(hit & real, 0.0).otherwise(1.0))
+        return {
+            "iou_loss": F.when(union > 0, 1.0 - tp / union).otherwise(1.0),
+            "elementwise": F.when(F.bool_and(hit | real), missed).otherwise(1.0),
+        }
+
+    return _per_class(df, classes, threshold, keys, measures)
+
+
 def validation_score(
     df: DataFrame, classes: Sequence[str], threshold: float = 0.5, image: str = "image_id"
 ) -> DataFrame:

@@ -132,6 +132,20 @@ def blocked_rank(
     )
 
 
+def uniform_rank(df: DataFrame, draw: str, ties: Sequence[str], out: str = "place", rows: int = 1 << 16) -> DataFrame:
+    """``row_number`` of a uniform draw in [0, 1), then of ``ties``, over the whole table.
+
+    There is a bucket for every ``rows`` rows, so buckets stay the same size whatever the table has.
+    """
+    buckets = max(1, -(-df.count() // rows))
+    df = df.withColumn("__u", F.least(F.floor(F.col(draw) * buckets), F.lit(buckets - 1)))
+    counts = df.groupBy("__u").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = blocked_cumsum(counts, F.col("__n"), "__u").select("__u", (F.col("cum") - F.col("__n")).cast("long").alias("__before"))
+    inner = W.partitionBy("__u").orderBy(draw, *ties)
+    numbered = df.withColumn("__r", F.row_number().over(inner)).join(offsets, "__u")
+    return numbered.withColumn(out, F.col("__before") + F.col("__r")).drop("__u", "__before", "__r")
+
+
 def _narrowed(df: DataFrame, keys: list[str], slots, summary: DataFrame, limit: int, digits: int) -> DataFrame:
     """Cut the brackets of more than ``limit`` values into ``digits`` parts and keep those with the rank.
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("statistics", "records", "shapes", "sampling", "streams")
+MODULES = ("statistics", "records", "shapes", "sampling", "streams", "files")
 
 
 def load_all() -> None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixloom import schema as S
-from pixloom.functions.scalars import uniform
 from pixloom.operators import augment as A, pixels as P, resample, stats
 from pixloom.plans import proxies as X
 from pixloom.plans.registry import query, rnd, rounded
@@ -243,11 +242,4 @@ def class_cycle_dataset(spark, sf):
     AS place FROM events""",
 )
 def shuffled_order(spark, sf):
-    from pixloom.operators.scale import blocked_rank
-
-    ev = X.table(spark, sf, "events").select(
-        "event_id", uniform(6, "shuffle", F.col("event_id")).alias("o")
-    )
-    return blocked_rank(
-        ev, [], [("b", F.floor(F.col("o") * 1024))], ["o", "event_id"], "place"
-    ).drop("o")
+    return A.shuffled_places(X.table(spark, sf, "events").select("event_id"), 6, ["event_id"])

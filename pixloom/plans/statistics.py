@@ -558,17 +558,34 @@ _EPS = repr(metrics.EPSILON)
     FROM s GROUP BY image_id""",
 )
 def cross_entropy(spark, sf):
-    df, key = X.predictions(spark, sf), ["image_id"]
-    parts = [
-        metrics.cross_entropy(df, 5, key),
-        metrics.weighted_cross_entropy(df, _W, key),
-        metrics.focal_cross_entropy(df, _W, 2.0, key),
-        metrics.quadratic_error(df, 5, key),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "image_id")
-    return rounded(out)
+    wanted = {
+        "cross_entropy": metrics.plain_entropy(),
+        "weighted_cross_entropy": metrics.weighted_entropy(_W),
+        "focal_cross_entropy": metrics.focal_entropy(_W, 2.0),
+        "quadratic_error": metrics.squares(),
+    }
+    return rounded(metrics.evaluate(X.predictions(spark, sf), 5, wanted, ["image_id"]))
+
+
+@query(
+    "custom_metrics",
+    f"""WITH {PRED}, s AS (SELECT image_id, y, x, sum(pow(p - t, 2)) AS brier, arg_max(t, (p, -k)) AS found,
+      max(p) AS sure FROM sm GROUP BY ALL)
+    SELECT image_id, {rnd('avg(brier)')} AS brier, {rnd('avg((found > 0.5)::INT)')} AS accuracy,
+    {rnd('max(sure)')} AS surest FROM s GROUP BY image_id""",
+)
+def custom_metrics(spark, sf):
+    """A user's own metrics beside each other in one pass: Brier score, accuracy, largest probability."""
+    def hit(p, y, z):
+        best = F.greatest(*p)
+        return F.coalesce(*[F.when(a == best, (b > 0.5).cast("int")) for a, b in zip(p, y, strict=True)])
+
+    own = {
+        "brier": metrics.Metric(lambda p, y, z: sum(F.pow(a - b, 2) for a, b in zip(p, y, strict=True))),
+        "accuracy": metrics.Metric(hit),
+        "surest": metrics.Metric(lambda p, y, z: F.greatest(*p), F.max),
+    }
+    return rounded(metrics.evaluate(X.predictions(spark, sf), 5, own, ["image_id"]))
 
 
 _CONF = """
@@ -595,14 +612,7 @@ def confusion(spark, sf):
     FROM a""",
 )
 def iou_loss(spark, sf):
-    df, key = X.predictions(spark, sf), ["image_id"]
-    by_class = metrics.iou_loss(df, S.CLASSES, keys=key)
-    elementwise = metrics.iou_loss(df, S.CLASSES, keys=key, mode="reference")
-    return rounded(
-        by_class.join(
-            elementwise.withColumnRenamed("iou_loss", "elementwise"), ["image_id", "class"]
-        )
-    )
+    return rounded(metrics.iou_losses(X.predictions(spark, sf), S.CLASSES, keys=["image_id"]))
 
 
 @query(

@@ -141,3 +141,32 @@ def test_percentiles_narrow_wide_brackets_and_meet_ties(spark):
         whole = exact_percentiles(df, [], {"v": [("p75", 0.75)]}, **options).first()
         assert whole["p75"] == pytest.approx(np.percentile([r[1] for r in rows if r[1] is not None], 75))
     assert exact_percentiles(df.limit(0), ["k"], {"v": ps}).count() == 0
+
+
+def test_uniform_rank_over_many_buckets(spark):
+    rng = np.random.default_rng(30)
+    draws = np.append(rng.random(500), [0.0, 0.0, 0.5, 0.5, 1.0 - 2.0**-53])
+    df = spark.createDataFrame(pd.DataFrame({"id": rng.permutation(len(draws)), "u": draws})).repartition(4)
+    rows = scale.uniform_rank(df, "u", ["id"], rows=20).collect()
+    assert [r["place"] for r in sorted(rows, key=lambda r: (r["u"], r["id"]))] == list(range(1, len(draws) + 1))
+    assert scale.uniform_rank(df.limit(0), "u", ["id"]).count() == 0
+
+
+def test_metrics_by_name_and_own_metrics(spark):
+    from pixloom.operators import metrics
+
+    df = spark.createDataFrame([("a", [1.0, 0.0], [1.0, 0.0]), ("a", [0.0, 2.0], [1.0, 0.0])], "k string, logits array<double>, truth array<double>")
+    out = metrics.evaluate(df, 2, ["cross_entropy", "quadratic_error"], ["k"]).first()
+    p = [np.exp(1) / (np.exp(1) + 1), 1 / (1 + np.exp(2))]
+    assert out["cross_entropy"] == pytest.approx(-np.mean(np.log(np.array(p) + 2.0**-23)))
+    assert out["quadratic_error"] == pytest.approx(0 + 1 + 4)
+
+    @metrics.metric("worst")
+    def worst():
+        return metrics.Metric(lambda p, y, z: F.abs(p[0] - y[0]), F.max)
+
+    assert metrics.evaluate(df, 2, ["worst"]).first()["worst"] == pytest.approx(1 - p[1])
+    with pytest.raises(ValueError, match="unknown"):
+        metrics.evaluate(df, 2, ["no such"])
+    with pytest.raises(ValueError, match="weights"):
+        metrics.evaluate(df, 2, {"w": metrics.weighted_entropy([1.0])})
