@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 
-def sample(planes: np.ndarray, rows: np.ndarray, cols: np.ndarray, method: str, fill: float):
-    """Read ``planes`` (C, H, W) at 1-based fractional positions; outside gives ``fill``."""
-    _, h, w = planes.shape
-    inside = (rows >= 1) & (rows <= h) & (cols >= 1) & (cols <= w)
-    r = np.clip(rows, 1, h) - 1.0
-    c = np.clip(cols, 1, w) - 1.0
-    if method == "nearest":
-        out = planes[:, np.rint(r).astype(int), np.rint(c).astype(int)]
-    else:
+CELLS = 1 << 20  # target cells whose positions are held at a time
+
+
+def remap(planes: Sequence[np.ndarray], height: int, width: int, positions, method: str, fill: float) -> np.ndarray:
+    """New planes (C, height, width): each cell read at ``positions(rows, cols)``, 1-based and fractional.
+
+    Goes through strips of target rows and plane by plane, so besides source and target only a strip is
+    held; planes keep their type. Positions outside the source give ``fill``.
+    """
+    h, w = planes[0].shape
+    out = np.empty((len(planes), height, width), planes[0].dtype)
+    step = max(1, CELLS // max(1, width))
+    for first in range(0, height, step):
+        last = min(first + step, height)
+        rows, cols = np.mgrid[first + 1 : last + 1, 1 : width + 1]
+        rows, cols = positions(rows.astype(float), cols.astype(float))
+        inside = (rows >= 1) & (rows <= h) & (cols >= 1) & (cols <= w)
+        r, c = np.clip(rows, 1, h) - 1.0, np.clip(cols, 1, w) - 1.0
+        if method == "nearest":
+            at = np.rint(r).astype(int), np.rint(c).astype(int)
+            for k, p in enumerate(planes):
+                out[k, first:last] = np.where(inside, p[at], fill)
+            continue
         r0, c0 = np.floor(r).astype(int), np.floor(c).astype(int)
         r1, c1 = np.minimum(r0 + 1, h - 1), np.minimum(c0 + 1, w - 1)
         fr, fc = r - r0, c - c0
-        out = (
-            planes[:, r0, c0] * (1 - fr) * (1 - fc)
-            + planes[:, r0, c1] * (1 - fr) * fc
-            + planes[:, r1, c0] * fr * (1 - fc)
-            + planes[:, r1, c1] * fr * fc
-        )
-    return np.where(inside, out, fill)
-
-
-def grid(height: int, width: int):
-    """1-based row and column coordinates of an output grid."""
-    rows, cols = np.mgrid[1 : height + 1, 1 : width + 1]
-    return rows.astype(float), cols.astype(float)
+        for k, p in enumerate(planes):
+            value = (
+                p[r0, c0] * (1 - fr) * (1 - fc)
+                + p[r0, c1] * (1 - fr) * fc
+                + p[r1, c0] * fr * (1 - fc)
+                + p[r1, c1] * fr * fc
+            )
+            out[k, first:last] = np.where(inside, value, fill)
+    return out
 
 
 def gaussian_taps(size: int, sigma: float) -> np.ndarray:
@@ -48,18 +60,19 @@ def smooth(planes: np.ndarray, size: int, sigma: float) -> np.ndarray:
     return sum(t * vertical[:, :, i : i + w] for i, t in enumerate(taps))
 
 
-def affine_about_centre(height, width, scale, shear_x, shear_y, rotation, flip) -> np.ndarray:
-    """2x2 map on (x, y) offsets from the centre: scale, shears, turn, flip."""
-    m = np.eye(2) * scale
-    m = np.array([[1.0, np.tan(np.radians(shear_x))], [0.0, 1.0]]) @ m
-    m = np.array([[1.0, 0.0], [np.tan(np.radians(shear_y)), 1.0]]) @ m
-    a = np.radians(rotation)
-    m = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]]) @ m
-    if flip == "flipx":
-        m = np.array([[-1.0, 0.0], [0.0, 1.0]]) @ m
-    elif flip == "flipy":
-        m = np.array([[1.0, 0.0], [0.0, -1.0]]) @ m
-    return m
+def shear(x: float = 0.0, y: float = 0.0) -> np.ndarray:
+    """2x2 map on (x, y) by angles in degrees along x, then along y."""
+    along_x = np.array([[1.0, np.tan(np.radians(x))], [0.0, 1.0]])
+    return np.array([[1.0, 0.0], [np.tan(np.radians(y)), 1.0]]) @ along_x
+
+
+def turn(degrees: float) -> np.ndarray:
+    a = np.radians(degrees)
+    return np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
+
+
+def mirror(kind: str) -> np.ndarray:
+    return np.diag({"flipx": (-1.0, 1.0), "flipy": (1.0, -1.0)}.get(kind, (1.0, 1.0)))
 
 
 def displacement(height, width, grid_h, grid_w, scale, sigma, iterations, seed) -> np.ndarray:
@@ -71,8 +84,6 @@ def displacement(height, width, grid_h, grid_w, scale, sigma, iterations, seed)
     size = 2 * int(np.ceil(2 * sigma)) + 1
     for _ in range(iterations):
         coarse = smooth(coarse, size, sigma)
-    rows, cols = grid(height, width)
-    up_r = 1 + (rows - 1) * (grid_h - 1) / max(height - 1, 1)
-    up_c = 1 + (cols - 1) * (grid_w - 1) / max(width - 1, 1)
-    field = sample(coarse, up_r, up_c, "bilinear", 0.0)
+    dr, dc = (grid_h - 1) / max(height - 1, 1), (grid_w - 1) / max(width - 1, 1)
+    field = remap(coarse, height, width, lambda rows, cols: (1 + (rows - 1) * dr, 1 + (cols - 1) * dc), "bilinear", 0.0)
     return field * np.array([height, width], dtype=float)[:, None, None]

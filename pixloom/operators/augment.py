@@ -439,13 +439,8 @@ def sample_pixels(
     source = images.withColumnRenamed("image_id", "source_index")
     joined = lineage.join(source, "source_index")
     cropped = resample.crop(joined, planes, drawn)
-    colours = len(S.PIXEL_CHANNELS)
-
-    def change(stack, row):
-        out = resample.geometric_stack(stack, row, binary)
-        return resample.post_effects_stack(out, row, colours) if post else out
-
-    made = resample.map_images(cropped, planes, ["sample_id", "target_class"], change)
+    steps = resample.GEOMETRY + (resample.POST if post else ())
+    made = resample.apply_steps(cropped, planes, steps, binary, ["sample_id", "target_class"])
     pixels = to_pixels(
         made.select(
             F.struct("sample_id", "target_class").alias("image_id"), "height", "width", *planes
@@ -740,7 +735,7 @@ def crop_first_samples(images: DataFrame, samples: DataFrame, size: tuple[int, i
     kept = ["sample_id", "source_index", "flip_type", "shear_x_angle", "shear_y_angle",
             "rotation_angle", "scale_factor"]
     cropped = resample.crop(joined, planes, kept)
-    return resample.geometric(cropped, planes, len(S.CLASSES), ["sample_id", "source_index"])
+    return resample.apply_steps(cropped, planes, resample.CROP_FIRST, len(S.CLASSES), ["sample_id", "source_index"])
 
 
 def shuffle_rows(df: DataFrame, seed: int, ids: Sequence[str]) -> DataFrame:

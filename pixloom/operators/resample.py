@@ -1,62 +1,77 @@
 """Whole-image resampling: one planar image row in, one out, no shuffle.
 
-Spark spreads the rows; each task reads Arrow batches and maps positions with
-numpy. Everything that can be said about positions before (windows, models,
-markers) arrives as columns of the row.
+Spark spreads the rows; a task takes Arrow batches of bounded bytes and reads the planes where they lie,
+in their own type. New planes are made strip by strip (``raster.remap``). Everything that can be said
+about positions before (windows, models, markers) arrives as columns of the row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixloom.functions import raster
 
-
-def _stack(row: dict, planes: Sequence[str]) -> np.ndarray:
-    h, w = int(row["height"]), int(row["width"])
-    return np.stack([np.asarray(row[p], dtype=float).reshape(h, w) for p in planes])
-
-
-def _flatten(stack: np.ndarray, planes: Sequence[str]) -> dict:
-    out = {p: stack[i].ravel() for i, p in enumerate(planes)}
-    out["height"], out["width"] = stack.shape[1], stack.shape[2]
-    return out
+BATCH_BYTES = 64 << 20  # to a task at a time; a larger image comes alone
+OUT_BYTES = 8 << 20
 
 
 def image_schema(df: DataFrame, planes: Sequence[str], keep: Sequence[str]) -> T.StructType:
-    plane = T.ArrayType(T.DoubleType())
     fields = [df.schema[c] for c in keep]
     fields += [T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType())]
-    return T.StructType(fields + [T.StructField(p, plane) for p in planes])
+    return T.StructType(fields + [T.StructField(p, df.schema[p].dataType) for p in planes])
 
 
 def map_images(
     df: DataFrame,
     planes: Sequence[str],
     keep: Sequence[str],
-    change: Callable[[np.ndarray, dict], np.ndarray | None],
+    change: Callable[[list[np.ndarray], dict], np.ndarray | None],
 ) -> DataFrame:
-    """Apply ``change(stack, row)`` to each image; ``None`` drops the row."""
+    """Apply ``change(planes, row)`` to each image; ``None`` drops the row.
+
+    The planes are read-only views (height, width) of the batch, ``row`` has the other columns.
+    """
     planes, keep = list(planes), list(keep)
     schema = image_schema(df, planes, keep)
-    names = schema.fieldNames()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, numbers = schema.fieldNames(), [c for c in df.columns if c not in planes]
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def packed(batch: pa.RecordBatch, made: list) -> pa.RecordBatch:
+        kept = batch.select(keep).take(pa.array([i for i, _ in made], pa.int64()))
+        columns = list(kept.columns)
+        columns += [pa.array([m.shape[axis] for _, m in made], pa.int32()) for axis in (1, 2)]
+        ends = np.cumsum([0, *(m.shape[1] * m.shape[2] for _, m in made)])
+        for k, p in enumerate(planes):
+            flat = made[0][1][k].ravel() if len(made) == 1 else np.concatenate([m[k].ravel() for _, m in made])
+            values = pa.array(flat, batch.schema.field(p).type.value_type)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
-                result = change(_stack(row, planes), row)
+            made, size = [], 0
+            for i in range(batch.num_rows):
+                row = batch.select(numbers).slice(i, 1).to_pylist()[0]
+                shape = int(row["height"]), int(row["width"])
+                views = [batch.column(p)[i].values.to_numpy(zero_copy_only=False).reshape(shape) for p in planes]
+                result = change(views, row)
                 if result is not None:
-                    rows.append({**{k: row[k] for k in keep}, **_flatten(result, planes)})
-            yield pd.DataFrame(rows, columns=names)
+                    made.append((i, result))
+                    size += result.nbytes
+                if size >= OUT_BYTES:
+                    yield packed(batch, made)
+                    made, size = [], 0
+            if made:
+                yield packed(batch, made)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def resize(
@@ -75,30 +90,32 @@ def resize(
         return images
 
     def change(stack, row):
-        _, h, w = stack.shape
+        h, w = stack[0].shape
         if size is None:
             th, tw = max(1, int(np.ceil(h * ratio))), max(1, int(np.ceil(w * ratio)))
-            rows, cols = raster.grid(th, tw)
-            rows, cols = (rows - 0.5) * h / th + 0.5, (cols - 0.5) * w / tw + 0.5
+            at = lambda r, c: ((r - 0.5) * h / th + 0.5, (c - 0.5) * w / tw + 0.5)
         else:
             th, tw = size
-            rows, cols = raster.grid(th, tw)
             if method == "nearest":
-                rows, cols = rows * h / th, cols * w / tw
+                at = lambda r, c: (r * h / th, c * w / tw)
             else:
-                rows = (rows - 1) * (h - 1) / max(th - 1, 1) + 1
-                cols = (cols - 1) * (w - 1) / max(tw - 1, 1) + 1
-        return raster.sample(stack, rows.clip(1, h), cols.clip(1, w), method, 0.0)
+                at = lambda r, c: ((r - 1) * (h - 1) / max(th - 1, 1) + 1, (c - 1) * (w - 1) / max(tw - 1, 1) + 1)
+
+        def within(rows, cols):
+            rows, cols = at(rows, cols)
+            return rows.clip(1, h), cols.clip(1, w)
+
+        return raster.remap(stack, th, tw, within, method, 0.0)
 
     keep = [c for c in images.columns if c not in (*planes, "height", "width")]
     return map_images(images, planes, keep, change)
 
 
-def _turn(stack: np.ndarray, degrees: float) -> np.ndarray:
+def _turn(stack: Sequence[np.ndarray], degrees: float) -> np.ndarray:
     """Clockwise about the centre on an enlarged canvas, grey outside."""
     if abs(degrees) < 0.1:
-        return stack
-    _, h, w = stack.shape
+        return np.asarray(stack)
+    h, w = stack[0].shape
     a = np.radians(degrees)
     cos, sin = np.cos(a), np.sin(a)
     corners = np.array([(y, x) for y in (1, h) for x in (1, w)], dtype=float)
@@ -108,11 +125,12 @@ def _turn(stack: np.ndarray, degrees: float) -> np.ndarray:
     span_y = np.round(turned_y.max() - turned_y.min(), 9)
     span_x = np.round(turned_x.max() - turned_x.min(), 9)
     nh, nw = int(np.ceil(span_y)) + 1, int(np.ceil(span_x)) + 1
-    rows, cols = raster.grid(nh, nw)
-    dy, dx = rows - (nh + 1) / 2, cols - (nw + 1) / 2
-    src_r = np.round(dy * cos - dx * sin + (h + 1) / 2, 9)
-    src_c = np.round(dy * sin + dx * cos + (w + 1) / 2, 9)
-    return raster.sample(stack, src_r, src_c, "bilinear", 0.5)
+
+    def at(rows, cols):
+        dy, dx = rows - (nh + 1) / 2, cols - (nw + 1) / 2
+        return np.round(dy * cos - dx * sin + (h + 1) / 2, 9), np.round(dy * sin + dx * cos + (w + 1) / 2, 9)
+
+    return raster.remap(stack, nh, nw, at, "bilinear", 0.5)
 
 
 def rotate_any(images: DataFrame, planes: Sequence[str], degrees: float) -> DataFrame:
@@ -151,67 +169,135 @@ def marker_closeup(
             long_side, short_side = second, -first
         w, h = np.hypot(*long_side), np.hypot(*short_side)
         out_h, out_w = max(1, int(round(h))), max(1, int(round(w)))
-        rows, cols = raster.grid(out_h, out_w)
-        lr, lc = rows - out_h / 2.0, cols - out_w / 2.0
         u = long_side / w if w > 0 else np.array([0.0, 1.0])
         v = short_side / h if h > 0 else np.array([1.0, 0.0])
-        src_r = row["centroid_row"] + lc * u[0] + lr * v[0]
-        src_c = row["centroid_col"] + lc * u[1] + lr * v[1]
-        on = raster.sample(stack[-1:], src_r, src_c, "nearest", 0.0)
-        cut = np.where(on > 0.5, raster.sample(colours, src_r, src_c, "bilinear", 0.5), 0.5)
+
+        def at(rows, cols):
+            lr, lc = rows - out_h / 2.0, cols - out_w / 2.0
+            return row["centroid_row"] + lc * u[0] + lr * v[0], row["centroid_col"] + lc * u[1] + lr * v[1]
+
+        on = raster.remap(stack[-1:], out_h, out_w, at, "nearest", 0.0)
+        cut = np.where(on > 0.5, raster.remap(colours, out_h, out_w, at, "bilinear", 0.5), 0.5)
         cut = _turn(np.concatenate([cut, on]), degrees)
         return np.rot90(cut, k=-1, axes=(1, 2))
 
     return map_images(joined, [*planes, mask_plane], ["image_id"], change).drop(mask_plane)
 
 
-def geometric_stack(stack: np.ndarray, row: dict, binary: int) -> np.ndarray:
-    """Scale, shears, turn and flip in one map; the last ``binary`` planes are rounded."""
-    _, h, w = stack.shape
-    m = raster.affine_about_centre(
-        h, w, row["scale_factor"], row["shear_x_angle"], row["shear_y_angle"],
-        row["rotation_angle"], row["flip_type"],
-    )
-    inverse = np.linalg.inv(m)
-    rows, cols = raster.grid(h, w)
-    dx, dy = cols - (w + 1) / 2, rows - (h + 1) / 2
-    src_c = inverse[0, 0] * dx + inverse[0, 1] * dy + (w + 1) / 2
-    src_r = inverse[1, 0] * dx + inverse[1, 1] * dy + (h + 1) / 2
-    out = raster.sample(stack, src_r, src_c, "bilinear", 0.0)
-    return _round_binary(out, binary)
-
-
-def _round_binary(stack: np.ndarray, binary: int) -> np.ndarray:
-    if binary:
-        stack = stack.copy()
-        stack[-binary:] = np.rint(stack[-binary:])
-    return stack
+@dataclass(frozen=True)
+class Linear:
+    """A step that maps offsets (x, y) from the centre by a 2x2 matrix made from the row's parameters."""
 
+    matrix: Callable[[dict], np.ndarray]
 
-def geometric(images: DataFrame, planes: Sequence[str], binary: int, keep: Sequence[str]):
-    """Apply the drawn geometry of each row to image and masks alike."""
-    return map_images(images, planes, keep, lambda s, row: geometric_stack(s, row, binary))
 
+@dataclass(frozen=True)
+class Effect:
+    """A step that makes new planes: ``apply(planes, row, colours)``, the first ``colours`` being colours."""
 
-def post_effects_stack(stack: np.ndarray, row: dict, colours: int) -> np.ndarray:
-    """Elastic distortion of all planes; jitter and blur of the colour planes only."""
-    _, h, w = stack.shape
+    apply: Callable[[np.ndarray, dict, int], np.ndarray]
+
+
+def _elastic(stack: np.ndarray, row: dict, colours: int) -> np.ndarray:
+    """The same smooth field for all planes."""
+    h, w = stack[0].shape
     field = raster.displacement(
         h, w, int(row["elastic_grid_h"]), int(row["elastic_grid_w"]), row["elastic_scale"],
         row["elastic_sigma"], int(row["elastic_iterations"]), int(row["random_seed"]) & 0x7FFFFFFF,
     )
-    rows, cols = raster.grid(h, w)
-    out = raster.sample(
-        stack, (rows + field[0]).clip(1, h), (cols + field[1]).clip(1, w), "bilinear", 0.0
-    )
-    out = _round_binary(out, stack.shape[0] - colours)
-    jittered = np.clip(out[:colours] * row["brightness_factor"] + row["saturation_offset"], 0, 1)
-    out[:colours] = raster.smooth(jittered, int(row["blur_kernel_size"]), row["blur_sigma"])
-    return out
+
+    def at(rows, cols):
+        strip = slice(int(rows[0, 0]) - 1, int(rows[-1, 0]))
+        return (rows + field[0, strip]).clip(1, h), (cols + field[1, strip]).clip(1, w)
+
+    return raster.remap(stack, h, w, at, "bilinear", 0.0)
+
+
+def _jitter(stack: np.ndarray, row: dict, colours: int) -> np.ndarray:
+    stack[:colours] = np.clip(stack[:colours] * row["brightness_factor"] + row["saturation_offset"], 0, 1)
+    return stack
+
+
+def _blur(stack: np.ndarray, row: dict, colours: int) -> np.ndarray:
+    for k in range(colours):
+        stack[k] = raster.smooth(stack[k : k + 1], int(row["blur_kernel_size"]), row["blur_sigma"])[0]
+    return stack
+
+
+# Steps by name; a user's own Linear or Effect objects stand beside them in a list.
+STEPS: dict[str, Linear | Effect] = {
+    "scale": Linear(lambda row: np.eye(2) * row["scale_factor"]),
+    "shear_x": Linear(lambda row: raster.shear(x=row["shear_x_angle"])),
+    "shear_y": Linear(lambda row: raster.shear(y=row["shear_y_angle"])),
+    "rotate": Linear(lambda row: raster.turn(row["rotation_angle"])),
+    "flip": Linear(lambda row: raster.mirror(row["flip_type"])),
+    "elastic": Effect(_elastic),
+    "jitter": Effect(_jitter),
+    "blur": Effect(_blur),
+}
+GEOMETRY = ("scale", "shear_x", "shear_y", "rotate", "flip")
+CROP_FIRST = ("flip", "shear_x", "shear_y", "rotate", "scale")
+POST = ("elastic", "jitter", "blur")
+
+
+def resolved(steps: Sequence[str | Linear | Effect]) -> list[Linear | Effect]:
+    unknown = [s for s in steps if not isinstance(s, (Linear, Effect)) and s not in STEPS]
+    if unknown:
+        raise ValueError(f"unknown steps: {unknown}")
+    return [STEPS[s] if isinstance(s, str) else s for s in steps]
+
+
+def run_steps(stack: Sequence[np.ndarray], row: dict, steps: Sequence[Linear | Effect], binary: int) -> np.ndarray:
+    """Apply steps in order; matrices that follow each other are one resampling. The last ``binary`` planes are rounded."""
+    h, w = stack[0].shape
+    pending, fresh = np.eye(2), False
+    out: Sequence[np.ndarray] = stack
+
+    def resampled():
+        inverse = np.linalg.inv(pending)
+
+        def at(rows, cols):
+            dx, dy = cols - (w + 1) / 2, rows - (h + 1) / 2
+            src_c = inverse[0, 0] * dx + inverse[0, 1] * dy + (w + 1) / 2
+            src_r = inverse[1, 0] * dx + inverse[1, 1] * dy + (h + 1) / 2
+            return np.round(src_r, 9), np.round(src_c, 9)
+
+        return raster.remap(out, h, w, at, "bilinear", 0.0)
+
+    def rounded_masks(planes):
+        if binary:
+            planes[-binary:] = np.rint(planes[-binary:])
+        return planes
+
+    for step in steps:
+        if isinstance(step, Linear):
+            pending, fresh = step.matrix(row) @ pending, True
+            continue
+        if fresh:
+            out = rounded_masks(resampled())
+            pending, fresh = np.eye(2), False
+        elif out is stack:
+            out = np.array(stack)
+        out = rounded_masks(step.apply(out, row, len(out) - binary))
+    return rounded_masks(resampled()) if fresh else np.asarray(out)
+
+
+def apply_steps(
+    images: DataFrame, planes: Sequence[str], steps: Sequence[str | Linear | Effect], binary: int, keep: Sequence[str]
+) -> DataFrame:
+    """Any list of steps with the parameters of each row, for image and masks alike, in one pass."""
+    chosen = resolved(steps)
+    return map_images(images, planes, keep, lambda stack, row: run_steps(stack, row, chosen, binary))
+
+
+def geometric(images: DataFrame, planes: Sequence[str], binary: int, keep: Sequence[str]):
+    """Apply the drawn geometry of each row to image and masks alike."""
+    return apply_steps(images, planes, GEOMETRY, binary, keep)
 
 
 def post_effects(images: DataFrame, planes: Sequence[str], colours: int, keep: Sequence[str]):
-    return map_images(images, planes, keep, lambda s, row: post_effects_stack(s, row, colours))
+    """Elastic distortion of all planes; jitter and blur of the colour planes only."""
+    return apply_steps(images, planes, POST, len(planes) - colours, keep)
 
 
 def crop(images: DataFrame, planes: Sequence[str], keep: Sequence[str]) -> DataFrame:

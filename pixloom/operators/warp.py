@@ -246,19 +246,22 @@ def _warp(images, model, planes: Sequence[str], size, fill: float, method: str)
     joined = images.join(model.where("status = 'ok'"), "image_id")
 
     def change(stack, row):
-        h, w = size if size is not None else stack.shape[1:]
-        rows, cols = raster.grid(h, w)
-        src = []
-        for name in ("w_row", "w_col"):
-            weights = np.asarray(row[name], dtype=float)
-            value = weights[-3] + weights[-2] * rows + weights[-1] * cols
-            for k, (cr, cc) in enumerate(zip(row["ctrl_row"], row["ctrl_col"], strict=True)):
-                r = np.hypot(rows - cr, cols - cc)
-                value = value + weights[k] * np.where(
-                    r < 1e-10, 0.0, r**2 * np.log(np.maximum(r, 1e-10))
-                )
-            src.append(np.round(value, 9))
-        return raster.sample(stack, src[0], src[1], method, fill)
+        h, w = size if size is not None else stack[0].shape
+
+        def at(rows, cols):
+            src = []
+            for name in ("w_row", "w_col"):
+                weights = np.asarray(row[name], dtype=float)
+                value = weights[-3] + weights[-2] * rows + weights[-1] * cols
+                for k, (cr, cc) in enumerate(zip(row["ctrl_row"], row["ctrl_col"], strict=True)):
+                    r = np.hypot(rows - cr, cols - cc)
+                    value = value + weights[k] * np.where(
+                        r < 1e-10, 0.0, r**2 * np.log(np.maximum(r, 1e-10))
+                    )
+                src.append(np.round(value, 9))
+            return src
+
+        return raster.remap(stack, h, w, at, method, fill)
 
     return map_images(joined, planes, ["image_id"], change)
 

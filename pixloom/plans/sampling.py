@@ -147,14 +147,66 @@ def geometric_flip(spark, sf):
     return rounded(px.select("image_id", "row", "col", "r", "p_background"))
 
 
-@query("geometric_drawn")
+def _steps_sql(seed: int, order: tuple[str, ...]) -> str:
+    """Class shares after drawn linear steps in this order: matrices, inverse map and bilinear reading in SQL."""
+
+    def drawn(name, first, by, n):
+        return f"round({X.index_sql(seed, name, str(n), 'vec_id')} * {by} + {first}, 4)"
+
+    cells = {
+        "scale": ("s * a", "s * b", "s * c", "s * d"),
+        "shear_x": ("a + kx * c", "b + kx * d", "c", "d"),
+        "shear_y": ("a", "b", "c + ky * a", "d + ky * b"),
+        "rotate": ("cos(t) * a - sin(t) * c", "cos(t) * b - sin(t) * d", "sin(t) * a + cos(t) * c", "sin(t) * b + cos(t) * d"),
+        "flip": ("fx * a", "fx * b", "fy * c", "fy * d"),
+    }
+    steps, last = [], "m0"
+    for k, step in enumerate(order, start=1):
+        new = ", ".join(f"{v} AS {n}" for v, n in zip(cells[step], "abcd", strict=True))
+        steps.append(f"m{k} AS (SELECT image_id, s, kx, ky, t, fx, fy, {new} FROM {last})")
+        last = f"m{k}"
+    at = {"00": "(r0 - 1) * 8 + c0", "01": "(r0 - 1) * 8 + c1", "10": "(r1 - 1) * 8 + c0", "11": "(r1 - 1) * 8 + c1"}
+    value = " + ".join(
+        f"l[{i}] * {'fr' if k[0] == '1' else '(1 - fr)'} * {'fc' if k[1] == '1' else '(1 - fc)'}" for k, i in at.items()
+    )
+    shares = ", ".join(
+        f"{rnd(f'sum(CASE WHEN inside THEN round_even({value.replace("l[", f"l_{c}[")}, 0) ELSE 0 END) / 64 * 100')} AS {c}_percentage"
+        for c in S.CLASSES
+    )
+    return f"""WITH {X.PX},
+    lists AS (SELECT image_id, {", ".join(f"list(p_{c} ORDER BY y, x) AS l_{c}" for c in S.CLASSES)} FROM px GROUP BY image_id),
+    draws AS (SELECT vec_id AS image_id, {drawn("scale", 0.9, 0.01, 21)} AS s,
+      tan(radians({drawn("shear_x", -10.0, 0.1, 201)})) AS kx, tan(radians({drawn("shear_y", -10.0, 0.1, 201)})) AS ky,
+      radians({drawn("rotation", 1.0, 0.1, 3591)}) AS t, {X.index_sql(seed, "flip", "3", "vec_id")} AS f FROM embeddings),
+    m0 AS (SELECT *, CASE WHEN f = 0 THEN -1.0 ELSE 1.0 END AS fx, CASE WHEN f = 1 THEN -1.0 ELSE 1.0 END AS fy,
+      1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d FROM draws),
+    {", ".join(steps)},
+    g AS (SELECT image_id, round((a * (y - 4.5) - c * (x - 4.5)) / (a * d - b * c) + 4.5, 9) AS sr,
+      round((d * (x - 4.5) - b * (y - 4.5)) / (a * d - b * c) + 4.5, 9) AS sc FROM {last} JOIN (SELECT image_id, y, x FROM px) USING (image_id)),
+    e AS (SELECT image_id, sr BETWEEN 1 AND 8 AND sc BETWEEN 1 AND 8 AS inside, greatest(1, least(8, sr)) AS r,
+      greatest(1, least(8, sc)) AS c FROM g),
+    h AS (SELECT *, floor(r)::INT AS r0, floor(c)::INT AS c0, least(floor(r)::INT + 1, 8) AS r1,
+      least(floor(c)::INT + 1, 8) AS c1, r - floor(r) AS fr, c - floor(c) AS fc FROM e)
+    SELECT image_id AS source_index, {shares}, count(*) AS total_pixels
+    FROM h JOIN lists USING (image_id) GROUP BY image_id"""
+
+
+@query("geometric_drawn", _steps_sql(21, resample.GEOMETRY))
 def geometric_drawn(spark, sf):
-    """Rows only: per-image drawn turns, shears and scales, bilinear in numpy."""
+    """Per-image drawn turns, shears, scales and flips, bilinear, as class shares of the result."""
     drawn = A.draw_parameters(_planar(spark, sf), 21, ["image_id"], (8, 8), (8, 8))
     out = resample.geometric(drawn, A.PLANES, len(S.CLASSES), ["image_id"])
     return rounded(stats.source_profile(P.to_pixels(out, A.PLANES)))
 
 
+@query("steps_reordered", _steps_sql(24, resample.CROP_FIRST))
+def steps_reordered(spark, sf):
+    """The same steps in the order of the crop-first variant: another list, nothing else."""
+    drawn = A.draw_parameters(_planar(spark, sf), 24, ["image_id"], (8, 8), (8, 8))
+    out = resample.apply_steps(drawn, A.PLANES, resample.CROP_FIRST, len(S.CLASSES), ["image_id"])
+    return rounded(stats.source_profile(P.to_pixels(out, A.PLANES)))
+
+
 @query("post_effects")
 def post_effects(spark, sf):
     """Rows only: elastic field, jitter and blur in numpy."""

@@ -215,3 +215,33 @@ def test_best_batch_size(spark):
                                   "config int, seq long, rate double")
     best = T.best_batch_size(rates, 1).where("is_best").first()
     assert (best["config"], best["mean_rate"]) == (8, 9.0)
+
+
+def test_steps_fold_in_order_and_take_own_objects(spark):
+    from pixloom.operators import resample as R
+
+    row = {"scale_factor": 1.1, "shear_x_angle": 5.0, "shear_y_angle": -3.0, "rotation_angle": 30.0, "flip_type": "flipx"}
+    stack = [np.random.default_rng(2).random((9, 11)) for _ in range(2)]
+    m = np.eye(2)
+    for name in R.CROP_FIRST:
+        m = R.STEPS[name].matrix(row) @ m
+    once = R.run_steps(stack, row, [R.Linear(lambda r: m)], 1)
+    assert np.allclose(R.run_steps(stack, row, R.resolved(R.CROP_FIRST), 1), once)
+    assert not np.allclose(R.run_steps(stack, row, R.resolved(R.GEOMETRY), 1)[0], once[0])
+    dark = R.Effect(lambda planes, row, colours: np.concatenate([planes[:colours] * 0.5, planes[colours:]]))
+    out = R.run_steps(stack, row, [dark], 1)
+    assert np.allclose(out[0], stack[0] * 0.5) and np.allclose(out[1], np.rint(stack[1]))
+    with pytest.raises(ValueError, match="unknown"):
+        R.resolved(["no such"])
+
+
+def test_remap_by_strips_is_remap_at_once(monkeypatch):
+    from pixloom.functions import raster
+
+    planes = [np.random.default_rng(3).random((20, 13)).astype(np.float32)]
+    at = lambda r, c: (r * 0.7 + c * 0.1, c * 1.1 - 0.5)
+    for method in ("nearest", "bilinear"):
+        whole = raster.remap(planes, 17, 15, at, method, 0.25)
+        monkeypatch.setattr(raster, "CELLS", 31)
+        assert (raster.remap(planes, 17, 15, at, method, 0.25) == whole).all() and whole.dtype == np.float32
+        monkeypatch.undo()
