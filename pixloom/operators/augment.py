@@ -7,6 +7,7 @@ under any partitioning and after any task retry.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,7 +18,7 @@ from pixloom.functions.scalars import clamp, draw_index, uniform
 from pixloom.operators import resample
 from pixloom.operators.pixels import to_pixels
 from pixloom.operators.scale import blocked_cumsum, blocked_rank, uniform_rank
-from pixloom.session import cut_lineage
+from pixloom.session import cut_lineage, written
 
 # Default target distribution, foreground limits, elastic constants, cycle.
 DEFAULT_DISTRIBUTION = {
@@ -214,28 +215,28 @@ def _p_of(class_column: Column) -> Column:
     return value
 
 
-def smart_crop(
-    pixels: DataFrame,
-    samples: DataFrame,
-    size: tuple[int, int],
-    seed: int,
-    candidates: int = CANDIDATES,
-) -> DataFrame:
-    """Add the crop window (crop_x, crop_y, crop_w, crop_h) of each sample.
+@dataclass(frozen=True)
+class CropIndex:
+    """What choosing windows needs of the pixels: image sizes, numbered class pixels and summed areas."""
 
-    ``samples``: (sample_id, source_index, target_class, ...). Up to 20 pixels of
-    the class are drawn by number, windows are centred on them and clamped, and
-    the richest one wins, the earlier on ties. Background and absent classes
-    get a random window; an image smaller than the window is used whole.
-    """
-    ch, cw = size
+    dims: DataFrame
+    members: DataFrame
+    sizes: DataFrame
+    sums: DataFrame
+
+    def kept(self) -> CropIndex:
+        """Written once to the shared folder, ordered by source, so that later look-ups never see the pixels."""
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            return written(df.repartition("source_index").sortWithinPartitions("source_index"), name)[0]
+
+        return CropIndex(*(keep(getattr(self, n), n) for n in ("dims", "members", "sizes", "sums")))
+
+
+def crop_index(pixels: DataFrame) -> CropIndex:
     dims = pixels.groupBy(F.col("image_id").alias("source_index")).agg(
         F.max("row").alias("h"), F.max("col").alias("w")
     )
-    base = samples.join(dims, "source_index")
-    fits = (F.col("h") >= ch) & (F.col("w") >= cw)
-    wanted = base.where(fits & (F.col("target_class") != "background"))
-
     members = pixels.select(
         F.col("image_id").alias("source_index"),
         "row",
@@ -253,9 +254,33 @@ def smart_crop(
         members, ["source_index", "target_class"], [("b", F.col("row"))], ["row", "col"], "place"
     )
     sizes = members.groupBy("source_index", "target_class").agg(F.count(F.lit(1)).alias("n"))
+    sums = class_integral(pixels).withColumnRenamed("image_id", "source_index")
+    return CropIndex(dims, numbered, sizes, sums)
+
+
+def smart_crop(
+    pixels: DataFrame | CropIndex,
+    samples: DataFrame,
+    size: tuple[int, int],
+    seed: int,
+    candidates: int = CANDIDATES,
+) -> DataFrame:
+    """Add the crop window (crop_x, crop_y, crop_w, crop_h) of each sample.
+
+    ``samples``: (sample_id, source_index, target_class, ...). Up to 20 pixels of
+    the class are drawn by number, windows are centred on them and clamped, and
+    the richest one wins, the earlier on ties. Background and absent classes
+    get a random window; an image smaller than the window is used whole. Who
+    crops more than once hands over a kept ``crop_index`` instead of pixels.
+    """
+    index = pixels if isinstance(pixels, CropIndex) else crop_index(pixels)
+    ch, cw = size
+    base = samples.join(index.dims, "source_index")
+    fits = (F.col("h") >= ch) & (F.col("w") >= cw)
+    wanted = base.where(fits & (F.col("target_class") != "background"))
     chosen = (
         wanted.select("sample_id", "source_index", "target_class", "h", "w")
-        .join(sizes, ["source_index", "target_class"])
+        .join(index.sizes, ["source_index", "target_class"])
         .withColumn(
             "k",
             F.explode(F.sequence(F.lit(1), F.least(F.lit(candidates), F.col("n")).cast("int"))),
@@ -263,7 +288,7 @@ def smart_crop(
         .withColumn(
             "place", draw_index(seed, "centre", F.col("n"), F.col("sample_id"), F.col("k")) + 1
         )
-        .join(numbered, ["source_index", "target_class", "place"])
+        .join(index.members, ["source_index", "target_class", "place"])
     )
     windows = chosen.select(
         "sample_id",
@@ -290,10 +315,7 @@ def smart_crop(
         "sample_id", "source_index", "target_class", "k", "x", "y", "e.row", "e.col", "e.s"
     )
     sums = (
-        lookups.join(
-            class_integral(pixels).withColumnRenamed("image_id", "source_index"),
-            ["source_index", "row", "col"],
-        )
+        lookups.join(index.sums, ["source_index", "row", "col"])
         .groupBy("sample_id", "k", "x", "y")
         .agg(F.sum(F.col("s") * _p_of(F.col("target_class"))).alias("mass"))
     )
@@ -486,6 +508,7 @@ def balanced_dataset(
     intervals = cut_lineage(source_intervals(profile, S.CLASSES, excluded))
     if intervals.isEmpty():
         raise ValueError("every source is excluded")
+    index = crop_index(pixels).kept()
     lacking = {c: int(n) for c, n in counts.items() if n > 0}
     used, passed = dict.fromkeys(lacking, 0), dict.fromkeys(lacking, 0)
     stages, log = [], []
@@ -501,7 +524,7 @@ def balanced_dataset(
         )
         picked = pick_source(attempts, intervals).drop("u")
         drawn = draw_parameters(picked, seed, ["sample_id"], window, base)
-        framed = cut_lineage(smart_crop(pixels, drawn, window, seed))
+        framed = cut_lineage(smart_crop(index, drawn, window, seed))
         grown = grow_patch(
             sample_pixels(framed, images, post=False), base, max_multiplier, thresholds
         )
