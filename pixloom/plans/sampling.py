@@ -147,12 +147,26 @@ def geometric_flip(spark, sf):
     return rounded(px.select("image_id", "row", "col", "r", "p_background"))
 
 
-def _steps_sql(seed: int, order: tuple[str, ...]) -> str:
-    """Class shares after drawn linear steps in this order: matrices, inverse map and bilinear reading in SQL."""
+def _grid_sql(seed: int, name: str, first: float, by: float, n: int) -> str:
+    return f"round({X.index_sql(seed, name, str(n), 'vec_id')} * {by} + {first}, 4)"
+
+
+def _drawn_sql(seed: int) -> str:
+    """Columns s, kx, ky, t, f (mirrored along x, y or not) and the corner ox, oy of the crop."""
+    return f"""{_grid_sql(seed, "scale", 0.9, 0.01, 21)} AS s, tan(radians({_grid_sql(seed, "shear_x", -10.0, 0.1, 201)})) AS kx,
+      tan(radians({_grid_sql(seed, "shear_y", -10.0, 0.1, 201)})) AS ky, radians({_grid_sql(seed, "rotation", 1.0, 0.1, 3591)}) AS t,
+      {X.index_sql(seed, "flip", "3", "vec_id")} AS f, 0 AS ox, 0 AS oy"""
 
-    def drawn(name, first, by, n):
-        return f"round({X.index_sql(seed, name, str(n), 'vec_id')} * {by} + {first}, 4)"
 
+def _crop_first_sql(seed: int, side: int) -> str:
+    return f"""{_grid_sql(seed, "zoom", 0.8, 0.1, 5)} AS s, tan(radians({X.index_sql(seed, "shear_x", "41", "vec_id")} - 20)) AS kx,
+      tan(radians({X.index_sql(seed, "shear_y", "41", "vec_id")} - 20)) AS ky,
+      radians({X.index_sql(seed, "rotation", "90", "vec_id")} + 1) AS t, {X.index_sql(seed, "flip", "4", "vec_id")} AS f,
+      {X.index_sql(seed, "cx", str(9 - side), "vec_id")}::INT AS ox, {X.index_sql(seed, "cy", str(9 - side), "vec_id")}::INT AS oy"""
+
+
+def _steps_sql(draws: str, order: tuple[str, ...], side: int = 8) -> str:
+    """Class shares after drawn linear steps in this order: matrices, inverse map and bilinear reading in SQL."""
     cells = {
         "scale": ("s * a", "s * b", "s * c", "s * d"),
         "shear_x": ("a + kx * c", "b + kx * d", "c", "d"),
@@ -165,33 +179,32 @@ def _steps_sql(seed: int, order: tuple[str, ...]) -> str:
         new = ", ".join(f"{v} AS {n}" for v, n in zip(cells[step], "abcd", strict=True))
         steps.append(f"m{k} AS (SELECT image_id, s, kx, ky, t, fx, fy, {new} FROM {last})")
         last = f"m{k}"
-    at = {"00": "(r0 - 1) * 8 + c0", "01": "(r0 - 1) * 8 + c1", "10": "(r1 - 1) * 8 + c0", "11": "(r1 - 1) * 8 + c1"}
+    at = {i + j: f"(r{i} + oy - 1) * 8 + c{j} + ox" for i in "01" for j in "01"}
+    mid = (side + 1) / 2
     value = " + ".join(
         f"l[{i}] * {'fr' if k[0] == '1' else '(1 - fr)'} * {'fc' if k[1] == '1' else '(1 - fc)'}" for k, i in at.items()
     )
     shares = ", ".join(
-        f"{rnd(f'sum(CASE WHEN inside THEN round_even({value.replace("l[", f"l_{c}[")}, 0) ELSE 0 END) / 64 * 100')} AS {c}_percentage"
+        f"{rnd(f'sum(CASE WHEN inside THEN round_even({value.replace("l[", f"l_{c}[")}, 0) ELSE 0 END) / {side * side} * 100')} AS {c}_percentage"
         for c in S.CLASSES
     )
     return f"""WITH {X.PX},
     lists AS (SELECT image_id, {", ".join(f"list(p_{c} ORDER BY y, x) AS l_{c}" for c in S.CLASSES)} FROM px GROUP BY image_id),
-    draws AS (SELECT vec_id AS image_id, {drawn("scale", 0.9, 0.01, 21)} AS s,
-      tan(radians({drawn("shear_x", -10.0, 0.1, 201)})) AS kx, tan(radians({drawn("shear_y", -10.0, 0.1, 201)})) AS ky,
-      radians({drawn("rotation", 1.0, 0.1, 3591)}) AS t, {X.index_sql(seed, "flip", "3", "vec_id")} AS f FROM embeddings),
+    draws AS (SELECT vec_id AS image_id, {draws} FROM embeddings),
     m0 AS (SELECT *, CASE WHEN f = 0 THEN -1.0 ELSE 1.0 END AS fx, CASE WHEN f = 1 THEN -1.0 ELSE 1.0 END AS fy,
       1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d FROM draws),
     {", ".join(steps)},
-    g AS (SELECT image_id, round((a * (y - 4.5) - c * (x - 4.5)) / (a * d - b * c) + 4.5, 9) AS sr,
-      round((d * (x - 4.5) - b * (y - 4.5)) / (a * d - b * c) + 4.5, 9) AS sc FROM {last} JOIN (SELECT image_id, y, x FROM px) USING (image_id)),
-    e AS (SELECT image_id, sr BETWEEN 1 AND 8 AND sc BETWEEN 1 AND 8 AS inside, greatest(1, least(8, sr)) AS r,
-      greatest(1, least(8, sc)) AS c FROM g),
-    h AS (SELECT *, floor(r)::INT AS r0, floor(c)::INT AS c0, least(floor(r)::INT + 1, 8) AS r1,
-      least(floor(c)::INT + 1, 8) AS c1, r - floor(r) AS fr, c - floor(c) AS fc FROM e)
+    g AS (SELECT image_id, round((a * (y - {mid}) - c * (x - {mid})) / (a * d - b * c) + {mid}, 9) AS sr,
+      round((d * (x - {mid}) - b * (y - {mid})) / (a * d - b * c) + {mid}, 9) AS sc FROM {last} JOIN (SELECT image_id, y, x FROM px WHERE y <= {side} AND x <= {side}) USING (image_id)),
+    e AS (SELECT image_id, sr BETWEEN 1 AND {side} AND sc BETWEEN 1 AND {side} AS inside, greatest(1, least({side}, sr)) AS r,
+      greatest(1, least({side}, sc)) AS c FROM g),
+    h AS (SELECT *, floor(r)::INT AS r0, floor(c)::INT AS c0, least(floor(r)::INT + 1, {side}) AS r1,
+      least(floor(c)::INT + 1, {side}) AS c1, r - floor(r) AS fr, c - floor(c) AS fc FROM e)
     SELECT image_id AS source_index, {shares}, count(*) AS total_pixels
-    FROM h JOIN lists USING (image_id) GROUP BY image_id"""
+    FROM h JOIN lists USING (image_id) JOIN (SELECT image_id, ox, oy FROM draws) USING (image_id) GROUP BY image_id"""
 
 
-@query("geometric_drawn", _steps_sql(21, resample.GEOMETRY))
+@query("geometric_drawn", _steps_sql(_drawn_sql(21), resample.GEOMETRY))
 def geometric_drawn(spark, sf):
     """Per-image drawn turns, shears, scales and flips, bilinear, as class shares of the result."""
     drawn = A.draw_parameters(_planar(spark, sf), 21, ["image_id"], (8, 8), (8, 8))
@@ -199,7 +212,7 @@ def geometric_drawn(spark, sf):
     return rounded(stats.source_profile(P.to_pixels(out, A.PLANES)))
 
 
-@query("steps_reordered", _steps_sql(24, resample.CROP_FIRST))
+@query("steps_reordered", _steps_sql(_drawn_sql(24), resample.CROP_FIRST))
 def steps_reordered(spark, sf):
     """The same steps in the order of the crop-first variant: another list, nothing else."""
     drawn = A.draw_parameters(_planar(spark, sf), 24, ["image_id"], (8, 8), (8, 8))
@@ -215,9 +228,9 @@ def post_effects(spark, sf):
     return rounded(stats.channel_stats_by_image(P.to_pixels(out, A.PLANES)))
 
 
-@query("crop_first_variant")
+@query("crop_first_variant", _steps_sql(_crop_first_sql(23, 6), resample.CROP_FIRST, 6))
 def crop_first_variant(spark, sf):
-    """Rows only: the crop-first variant on every image."""
+    """The crop-first variant on every image, as class shares."""
     samples = _samples(spark, sf).drop("target_class")
     out = A.crop_first_samples(X.images(spark, sf), samples, (6, 6), 23)
     px = P.to_pixels(
