@@ -750,7 +750,8 @@ def pick_source(spark, sf):
 )
 def shuffle_and_first(spark, sf):
     docs = X.table(spark, sf, "documents").select("doc_id", "source")
-    return augment.shuffle_rows(docs, 11, ["doc_id"]).limit(100)
+    placed = augment.shuffled_places(docs, 11, ["doc_id"])
+    return augment.first_n(placed, "place", 100).drop("place")
 
 
 @query(

@@ -254,6 +254,25 @@ def find_components(spark, sf):
     return rounded(C.find_components(X.pixels(spark, sf), 0.45, 1, 2))
 
 
+@query(
+    "detected_markers",
+    f"""WITH RECURSIVE {X.PX}, mpx AS (SELECT image_id, y, x, r >= 0.45 AND g >= 0.45 AND b >= 0.45
+      AS m FROM px), {_morph('dilate', 'mpx', 'd1', 1)}, {_morph('erode', 'd1', 'd2', 1)},
+    {_morph('erode', 'd2', 'd3', 1)}, {_morph('dilate', 'd3', 'd4', 1)},
+    lit AS (SELECT image_id, y, x FROM d4 WHERE m), {_components('lit', _FOUR)}, {_boxes()},
+    early AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY label) AS k FROM box WHERE n >= 2)
+    SELECT image_id, label, n::BIGINT AS size,
+    row_number() OVER (PARTITION BY image_id ORDER BY n DESC, label) AS marker,
+    {rnd('cy')} AS centroid_row, {rnd('cx')} AS centroid_col, {rnd('aspect_ratio')} AS aspect_ratio,
+    {rnd('density')} AS density FROM early WHERE k <= 2""",
+)
+def detected_markers(spark, sf):
+    found = C.detect_markers(X.pixels(spark, sf), 0.45, 1, 2, max_markers=2)
+    return rounded(
+        found.select("image_id", "label", "size", "marker", "centroid_row", "centroid_col", "aspect_ratio", "density")
+    )
+
+
 @query(
     "white_region",
     f"""WITH RECURSIVE {X.PX}, lit AS (SELECT image_id, y, x FROM px WHERE r >= 0.45 AND g >= 0.45
@@ -631,6 +650,34 @@ def canonical_positions(spark, sf):
     return rounded(out)
 
 
+def _snapped_sql(value: str, lo: str, hi: str, n: str) -> str:
+    step = f"(({hi} - {lo}) / nullif({n} - 1, 0))"
+    return rnd(f"coalesce(CASE WHEN {step} > 0 THEN round_even(({value} - {lo}) / {step}, 0) * {step} ELSE 0 END, 0) + 1")
+
+
+@query(
+    "canonical_grids",
+    f"""WITH RECURSIVE {_MARKERS}, lim AS (SELECT image_id, min(cy) AS r0, max(cy) AS r1, min(cx) AS c0,
+      max(cx) AS c1, ceil(max(cy) + 2) AS h, ceil(max(cx) + 2) AS w, count(DISTINCT round_even(cy, 0)) AS nr,
+      count(DISTINCT round_even(cx, 0)) AS nc FROM mk GROUP BY 1)
+    SELECT mk.image_id, marker AS target,
+    {rnd('1 + ((marker - 1) // 3) * (least(h, w) - 2) / 2')} AS grid_row,
+    {rnd('1 + ((marker - 1) % 3) * (least(h, w) - 2) / 2')} AS grid_col,
+    {_snapped_sql('cy', 'r0', 'r1', 'nr')} AS auto_row, {_snapped_sql('cx', 'c0', 'c1', 'nc')} AS auto_col
+    FROM mk JOIN lim USING (image_id)""",
+)
+def canonical_grids(spark, sf):
+    """The other two layouts: a grid of three by three, and the rows and columns that the markers form."""
+    markers = _markers(spark, sf)
+    parts = [
+        warp.canonical_positions(markers, mode, margin=1.0).select(
+            "image_id", "target", F.col("target_row").alias(f"{name}_row"), F.col("target_col").alias(f"{name}_col")
+        )
+        for mode, name in (("grid_3x3", "grid"), ("auto", "auto"))
+    ]
+    return rounded(parts[0].join(parts[1], ["image_id", "target"]))
+
+
 @query(
     "correspond_spatial",
     f"""WITH RECURSIVE {_MARKERS}, {_TARGETS},

@@ -327,6 +327,22 @@ def brightness_histogram(spark, sf):
     return rounded(stats.histogram(px, "brightness", 10, ["image_id"], "pdf"))
 
 
+@query(
+    "histogram_of_range",
+    f"""WITH {X.PX}, v AS (SELECT image_id, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS v FROM px),
+    c AS (SELECT 0.45::DOUBLE AS lo, 0.55::DOUBLE AS hi, (0.55::DOUBLE - 0.45::DOUBLE) / 4 AS w),
+    n AS (SELECT image_id, CASE WHEN v < lo THEN -1 WHEN v > hi THEN 4 ELSE least(floor((v - lo) / w), 3) END::INT AS bin,
+      count(*) AS n FROM v, c GROUP BY ALL),
+    f AS (SELECT DISTINCT image_id, unnest(range(-1, 5))::INT AS bin FROM px)
+    SELECT f.image_id, f.bin, {rnd('lo + f.bin * w')} AS bin_start, coalesce(n.n, 0) AS n
+    FROM f LEFT JOIN n USING (image_id, bin), c WHERE n.n IS NOT NULL OR f.bin BETWEEN 0 AND 3""",
+)
+def histogram_of_range(spark, sf):
+    """Bins of a range that most values lie outside of: those are counted below and above."""
+    px = P.with_brightness(X.pixels(spark, sf).select("image_id", "r", "g", "b"))
+    return rounded(stats.histogram(px, "brightness", 4, ["image_id"], "count", 0.45, 0.55))
+
+
 @query(
     "hsv_profile",
     f"""WITH {X.PX}, lit AS (SELECT * FROM px WHERE r > 0 OR g > 0 OR b > 0), {X.hsv_ctes('lit')}
@@ -533,6 +549,27 @@ def adapt_colour(spark, sf):
     return rounded(e.select("vec_id", *[v.alias(n) for n, v in zip("xyz", moved)]))
 
 
+# Public CIE whites of the reference illuminants, Y = 1.
+_WHITES = """w(i, name, x, y, z) AS (VALUES (0, 'D65', 0.95047, 1.0, 1.08883), (1, 'D50', 0.96422, 1.0, 0.82521),
+    (2, 'A', 1.0985, 1.0, 0.35585), (3, 'D55', 0.95682, 1.0, 0.92149), (4, 'D75', 0.94972, 1.0, 1.22638),
+    (5, 'E', 1.0, 1.0, 1.0), (6, 'F2', 0.99187, 1.0, 0.67395), (7, 'F7', 0.95044, 1.0, 1.08755),
+    (8, 'F11', 1.00966, 1.0, 0.6437), (9, 'none', NULL, NULL, NULL))"""
+
+
+@query(
+    "reference_whites",
+    f"""WITH {_WHITES} SELECT vec_id, name, {rnd_as('x', 'y', 'z')},
+    {rnd('abs(embedding[1])::DOUBLE * x')} AS scaled FROM embeddings JOIN w ON i = vec_id % 10""",
+)
+def reference_whites(spark, sf):
+    """Each picture with one of the nine whites, or a name that is none of them."""
+    names = F.array(*[F.lit(n) for n in ("D65", "D50", "A", "D55", "D75", "E", "F2", "F7", "F11", "none")])
+    e = X.table(spark, sf, "embeddings").withColumn("name", F.get(names, (F.col("vec_id") % 10).cast("int")))
+    white = colour.illuminant_case(F.col("name"))
+    first = F.abs(F.get("embedding", F.lit(0)).cast("double"))
+    return rounded(e.select("vec_id", "name", *[v.alias(n) for n, v in zip("xyz", white, strict=True)], (first * white[0]).alias("scaled")))
+
+
 # ---- metrics -----------------------------------------------------------------------------------
 
 _LOGITS = "[r * 4, g * 4, b * 4, p_scar * 3, (1.0 - r) * 4]"
