@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixloom import schema as S
+from pixloom.operators import trials
 from pixloom.plans import proxies as X
 from pixloom.plans.registry import query, rnd, rounded
 from pixloom.session import scratch_path
-from pixloom.sources import dense, images as I
+from pixloom.sources import dense, images as I, ledger
+from pixloom.streaming import telemetry
 
 
 @query(
@@ -49,3 +51,50 @@ def dataset_round_trip(spark, sf):
         "image_id", F.lit("missing").alias("status"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("r_sum")
     )
     return rounded(found.unionByName(lacking))
+
+
+@query(
+    "trials_csv",
+    f"""SELECT l_orderkey, l_linenumber, {rnd('((l_discount / 2) + 0.5) * (0.001 - 0.00001) + 0.00001')} AS rate,
+    {rnd('l_extendedprice')} AS output FROM lineitem""",
+)
+def trials_csv(spark, sf):
+    """All trials as a sorted CSV, parameters in their own range, and read again."""
+    path = scratch_path(spark, "trials")
+    table = X.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_discount").cast("double").alias("rate"), F.col("l_extendedprice").cast("double").alias("output")
+    )
+    trials.export_trials(table, path, bounds={"rate": (0.00001, 0.001)})
+    return rounded(spark.read.schema(table.schema).option("header", True).csv(path))
+
+
+@query(
+    "augmented_round_trip",
+    f"""WITH {X.LINEAGE} SELECT target_class, count(*) AS n, {rnd('sum(scale_factor * 2)')} AS total,
+    (SELECT count(*) FROM lineage) AS n_samples, (SELECT count(*) FROM supplier WHERE s_suppkey < 4) AS n_excluded
+    FROM lineage GROUP BY target_class""",
+)
+def augmented_round_trip(spark, sf):
+    """An augmented set written with a hook on its samples: counts from the summary, sums from the samples."""
+    path = scratch_path(spark, "augmented")
+    lineage = X.lineage(spark, sf).withColumn("sample_id", F.concat_ws("-", "target_class", "augmented_index"))
+    samples = lineage.select("sample_id", "target_class", F.lit(1).alias("row"), F.lit(1).alias("col"), F.col("scale_factor").alias("v"))
+    excluded = X.table(spark, sf, "supplier").where("s_suppkey < 4").select(F.col("s_suppkey").alias("source_index"))
+    ledger.write_augmented(samples, lineage, path, lambda df: df.withColumn("v", F.col("v") * 2), excluded)
+    known, summary = ledger.read_augmented_metadata(spark, path)
+    counts = summary.select("n_samples", "n_excluded", F.explode("distribution").alias("target_class", "n"))
+    sums = spark.read.parquet(f"{path}/samples").join(known, "sample_id", "left_semi")
+    totals = sums.groupBy("target_class").agg(F.sum("v").alias("total"))
+    return rounded(counts.join(totals, "target_class").select("target_class", "n", "total", "n_samples", "n_excluded"))
+
+
+@query("ingested_files", f"SELECT vec_id AS image_id, {X.CELLS * 3}::BIGINT AS length FROM embeddings")
+def ingested_files(spark, sf):
+    """Picture files that arrive in two lots; the second run of the stream takes only the new ones."""
+    path = scratch_path(spark, "ingest")
+    px = X.pixels(spark, sf)
+    for lot in range(2):
+        dense.write_dense(px.where(F.col("image_id") % 2 == lot), f"{path}/in", S.PIXEL_CHANNELS)
+        files = telemetry.ingest_stream(spark, f"{path}/in", "bin", 2000).select("path", "length")
+        seen = telemetry.run_to_table(files, f"{path}/out", f"{path}/state")
+    return seen.select(F.regexp_extract("path", r"image_(\d+)\.bin$", 1).cast("long").alias("image_id"), "length")

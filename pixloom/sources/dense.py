@@ -189,6 +189,9 @@ class DenseWriter(DataSourceWriter):
         store, root = _folder(self.path)
         store.create_dir(root, recursive=True)
         sizes = {}
+        if store.get_file_info(f"{root}/{META}").type == fs.FileType.File:  # files of earlier jobs stay
+            with store.open_input_stream(f"{root}/{META}") as f:
+                sizes = json.loads(f.read())
         for message in filter(None, messages):
             for temporary, name in message.files:
                 store.move(temporary, name)
