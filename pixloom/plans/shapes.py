@@ -169,6 +169,36 @@ def components_8_connected(spark, sf):
     return _labelled(spark, sf, 8)
 
 
+_ACROSS = 64  # pictures in a row of a mosaic, and rows of it
+_MOSAIC = f"""lit AS (SELECT image_id // {_ACROSS * _ACROSS} AS image_id,
+  (image_id % {_ACROSS * _ACROSS} // {_ACROSS} * {X.SIDE} + y)::INT AS y, (image_id % {_ACROSS} * {X.SIDE} + x)::INT AS x
+  FROM px WHERE r > 0.55)"""
+
+
+def mosaic_pixels(spark, sf):
+    """Pictures laid side by side into mosaics of up to 512 x 512 pixels."""
+    px, per = X.pixels(spark, sf), _ACROSS * _ACROSS
+    at = F.col("image_id") % per
+    return px.withColumns(
+        {
+            "row": (F.floor(at / _ACROSS) * X.SIDE + F.col("row")).cast("int"),
+            "col": (at % _ACROSS * X.SIDE + F.col("col")).cast("int"),
+            "image_id": F.floor(F.col("image_id") / per),
+        }
+    )
+
+
+@query(
+    "mosaic_components",
+    f"""WITH RECURSIVE {X.PX}, {_MOSAIC}, {_components('lit', _FOUR)}
+    SELECT image_id, y AS "row", x AS col, label FROM lab""",
+)
+def mosaic_components(spark, sf):
+    """Regions that cross the borders of tiles."""
+    lit = mosaic_pixels(spark, sf).where("r > 0.55").select("image_id", "row", "col")
+    return C.label_components(lit)
+
+
 @query(
     "component_stats",
     f"""WITH RECURSIVE {X.PX}, {_ON}, {_components('lit', _FOUR)}
