@@ -17,12 +17,27 @@ from pixloom.session import cut_lineage
 LCH = ("l", "c", "h")
 
 
-def _lch_summary(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+HUE_MEANS = ("linear", "circular")
+
+
+def circular_mean(degrees: Column) -> Column:
+    """Direction of the summed unit vectors, 0 to 360; NULL where they cancel out or there are none."""
+    x, y = F.avg(F.cos(F.radians(degrees))), F.avg(F.sin(F.radians(degrees)))
+    return F.when(F.hypot(x, y) > 1e-9, F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)))
+
+
+def _mean(measure: str, value: Column, hue: str) -> Column:
+    if hue not in HUE_MEANS:
+        raise ValueError(f"hue is one of {HUE_MEANS}")
+    return circular_mean(value) if measure == "h" and hue == "circular" else F.avg(value)
+
+
+def _lch_summary(values: DataFrame, keys: Sequence[str], hue: str = "linear") -> DataFrame:
     return exact_medians(
         values,
         keys,
         {v: f"{v}_median" for v in LCH},
-        {**{f"{v}_mean": F.avg(v) for v in LCH}, "pixel_count": F.count("l")},
+        {**{f"{v}_mean": _mean(v, F.col(v), hue) for v in LCH}, "pixel_count": F.count("l")},
     ).drop(*[f"n_{v}" for v in LCH])
 
 
@@ -32,10 +47,14 @@ def _fill_absent(frame: DataFrame, measured: DataFrame, keys: Sequence[str]) ->
 
 
 def class_lch(
-    pixels: DataFrame, classes: Sequence[str] = S.FOREGROUND_CLASSES, threshold: float = 0.5
+    pixels: DataFrame,
+    classes: Sequence[str] = S.FOREGROUND_CLASSES,
+    threshold: float = 0.5,
+    hue: str = "linear",
 ) -> DataFrame:
     """L, C, h medians and means per image and class under the class mask.
 
+    ``hue`` chooses the mean of the hue: of the numbers, or of the directions (``circular``).
     A class is a column of each measure, NULL off its mask, so one group per image serves all classes and
     a class that an image lacks needs no further pass: NULL measures, a pixel count of 0.
     """
@@ -46,7 +65,7 @@ def class_lch(
         "image_id", *[F.when(F.col(S.p_col(c)) > threshold, F.col(v)).alias(n) for c in wanted for v, n in names[c].items()]
     )
     flat = [n for c in wanted for n in names[c].values()]
-    measured = exact_medians(values, ["image_id"], {n: f"{n}_median" for n in flat}, {f"{n}_mean": F.avg(n) for n in flat})
+    measured = exact_medians(values, ["image_id"], {n: f"{n}_median" for n in flat}, {f"{n}_mean": _mean(v, F.col(n), hue) for c in wanted for v, n in names[c].items()})
     rows = F.array(
         *[
             F.struct(
@@ -61,22 +80,22 @@ def class_lch(
     return long.select("image_id", "e.class", *[f"e.{v}_mean" for v in LCH], "e.pixel_count", *[f"e.{v}_median" for v in LCH])
 
 
-def polygon_lch(hits: DataFrame, polygons: DataFrame) -> DataFrame:
+def polygon_lch(hits: DataFrame, polygons: DataFrame, hue: str = "linear") -> DataFrame:
     """The same inside each polygon; ``hits`` are pixels already matched to polygons."""
     measured = _lch_summary(
-        with_lch(hits).select("image_id", "polygon_id", *LCH), ["image_id", "polygon_id"]
+        with_lch(hits).select("image_id", "polygon_id", *LCH), ["image_id", "polygon_id"], hue
     )
     frame = polygons.select("image_id", "polygon_id")
     return _fill_absent(frame, measured, ["image_id", "polygon_id"])
 
 
-def mask_lch(pixels: DataFrame, mask: Column) -> DataFrame:
+def mask_lch(pixels: DataFrame, mask: Column, hue: str = "linear") -> DataFrame:
     """The same under a single mask; the class is named ``polygon_region``."""
     # Values off the mask are NULL, so images without a mask keep their row.
     values = with_lch(pixels).select(
         "image_id", *[F.when(mask, F.col(v)).alias(v) for v in LCH]
     )
-    return _lch_summary(values, ["image_id"]).withColumn("class", F.lit("polygon_region"))
+    return _lch_summary(values, ["image_id"], hue).withColumn("class", F.lit("polygon_region"))
 
 
 def hsv_profile(pixels: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:

@@ -391,6 +391,20 @@ def mask_lch(spark, sf):
     return rounded(colours.mask_lch(px, mask))
 
 
+@query(
+    "mask_lch_circular",
+    f"""WITH {X.PX}, m AS (SELECT * FROM px WHERE p_background > 0.2), {X.lch_ctes('m')},
+    s AS (SELECT image_id, avg(cos(radians(h))) AS u, avg(sin(radians(h))) AS v, count(*) AS pixel_count FROM lch GROUP BY image_id),
+    d AS (SELECT *, CASE WHEN sqrt(u * u + v * v) > 1e-9 THEN degrees(atan2(v, u)) END AS deg FROM s)
+    SELECT i.image_id, {rnd('CASE WHEN deg < 0 THEN deg + 360 ELSE deg END')} AS h_mean, coalesce(pixel_count, 0) AS pixel_count
+    FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN d USING (image_id)""",
+)
+def mask_lch_circular(spark, sf):
+    """Mean hue as a direction: hues on both sides of red do not meet in the middle of the circle."""
+    measured = colours.mask_lch(X.pixels(spark, sf), F.col("p_background") > 0.2, hue="circular")
+    return rounded(measured.select("image_id", "h_mean", "pixel_count"))
+
+
 _WHITE = f"""
 lit AS (SELECT image_id, {X.lin('r')} AS r, {X.lin('g')} AS g, {X.lin('b')} AS b FROM px
         WHERE (r > 0.01 OR g > 0.01 OR b > 0.01) AND r >= 0.5),

@@ -165,3 +165,13 @@ def test_marker_grids(spark):
     assert len(targets("corners_4")) == 4 and len(targets("grid_2x2")) == 4
     with pytest.raises(ValueError):
         targets("circle")
+
+
+def test_circular_mean_of_hues(spark):
+    from pixloom.operators.colours import circular_mean
+
+    rows = [("red", 350.0), ("red", 10.0), ("none", 0.0), ("none", 180.0), ("one", 200.0), ("null", None)]
+    df = spark.createDataFrame(rows, "k string, h double").groupBy("k").agg(circular_mean(F.col("h")).alias("m"))
+    got = {r["k"]: r["m"] for r in df.collect()}
+    assert min(got["red"], 360 - got["red"]) < 1e-9 and got["one"] == pytest.approx(200)
+    assert got["none"] is None and got["null"] is None
