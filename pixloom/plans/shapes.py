@@ -937,3 +937,45 @@ def marker_closeup(spark, sf):
     return rounded(
         P.to_pixels(cut).groupBy("image_id", "height", "width").agg(F.avg("r").alias("mean_r"))
     )
+
+
+@query(
+    "edits_that_meet",
+    """WITH e AS (SELECT vec_id AS image_id, label % 2 = 1 AS odd FROM embeddings),
+    rows AS (SELECT image_id, unnest(CASE WHEN odd THEN [
+        {'kind': 'polygon', 'id': 5, 'what': 'scar'}, {'kind': 'polygon', 'id': 2, 'what': 'redness'},
+        {'kind': 'polygon', 'id': 6, 'what': 'necrosis'}, {'kind': 'reject', 'id': 1, 'what': 'polygon already edited'},
+        {'kind': 'reject', 'id': 2, 'what': 'id in use'}, {'kind': 'reject', 'id': 9, 'what': 'polygon not found'}]
+      ELSE [{'kind': 'polygon', 'id': 1, 'what': 'hematoma'}, {'kind': 'polygon', 'id': 5, 'what': 'redness'},
+        {'kind': 'polygon', 'id': 6, 'what': 'necrosis'}, {'kind': 'reject', 'id': 1, 'what': 'id in use'},
+        {'kind': 'reject', 'id': 9, 'what': 'polygon not found'}] END) AS r FROM e)
+    SELECT image_id, r.kind AS kind, r.id AS id, r.what AS what FROM rows""",
+)
+def edits_that_meet(spark, sf):
+    """Five edits of every image that get into each other's way, in two ways by the parity of its label."""
+    polygons = X.polygons(spark, sf)
+    known = polygons.select(
+        "image_id", F.col("polygon_id").alias("id"), "class", "vertices", F.lit(None).cast("double").alias("lch_data")
+    )
+    none, first = F.lit(None), F.when(F.col("label") % 2 == 1, 5).otherwise(2)
+    edits = [
+        (1, "renumber", F.lit(1), first, none),
+        (2, "replace", F.lit(1), none, F.lit("hematoma")),
+        (3, "renumber", F.lit(2), F.lit(5), none),
+        (4, "add", F.lit(5), none, F.lit("necrosis")),
+        (5, "remove", F.lit(9), none, none),
+    ]
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("seq"), F.lit(a).alias("action"), i.cast("int").alias("id"), to.cast("int").alias("new_id"),
+                c.cast("string").alias("class"), F.lit(None).cast("array<array<double>>").alias("vertices"),
+            )
+            for n, a, i, to, c in edits
+        ]
+    )
+    images = polygons.select("image_id", "label").distinct()
+    changes = images.select("image_id", F.explode(rows).alias("e")).select("image_id", "e.*")
+    left, refused = PG.edit_polygons(known, changes)
+    kept = left.select("image_id", F.lit("polygon").alias("kind"), "id", F.col("class").alias("what"))
+    return kept.unionByName(refused.select("image_id", F.lit("reject").alias("kind"), "id", F.col("reason").alias("what")))
