@@ -228,6 +228,33 @@ def post_effects(spark, sf):
     return rounded(stats.channel_stats_by_image(P.to_pixels(out, A.PLANES)))
 
 
+def _blur_sql(source: str, out: str, axis: str) -> str:
+    other = "x" if axis == "y" else "y"
+    return f"""{out} AS (SELECT a.image_id, a.y, a.x, sum(t.w * s.v) AS v FROM {source} a JOIN taps t USING (image_id)
+      JOIN {source} s ON s.image_id = a.image_id AND s.{other} = a.{other} AND s.{axis} = greatest(1, least(8, a.{axis} + t.off))
+      GROUP BY a.image_id, a.y, a.x)"""
+
+
+@query(
+    "jitter_and_blur",
+    f"""WITH {X.PX}, d AS (SELECT vec_id AS image_id, {_grid_sql(25, 'brightness', 0.8, 0.1, 5)} AS f,
+      {_grid_sql(25, 'saturation', -0.2, 0.1, 5)} AS o, {X.index_sql(25, 'kernel', '3', 'vec_id')} + 1 AS half,
+      {_grid_sql(25, 'sigma', 1.0, 0.1, 21)} AS sigma FROM embeddings),
+    j AS (SELECT image_id, y, x, greatest(0.0, least(1.0, g * f + o)) AS v FROM px JOIN d USING (image_id)),
+    raw AS (SELECT image_id, off, exp(-(off * off) / (2.0 * sigma * sigma)) AS w
+      FROM d, (SELECT unnest(range(-3, 4)) AS off) WHERE abs(off) <= half),
+    taps AS (SELECT image_id, off, w / sum(w) OVER (PARTITION BY image_id) AS w FROM raw),
+    {_blur_sql('j', 'down', 'y')}, {_blur_sql('down', 'across', 'x')}
+    SELECT image_id, y AS "row", x AS col, {rnd('across.v')} AS g, {rnd('round_even(p_scar, 0)')} AS p_scar
+    FROM across JOIN px USING (image_id, y, x)""",
+)
+def jitter_and_blur(spark, sf):
+    """Two of the post effects as a list of their own: colours change, masks are only rounded."""
+    drawn = A.draw_parameters(_planar(spark, sf), 25, ["image_id"], (8, 8), (8, 8))
+    out = resample.apply_steps(drawn, A.PLANES, ("jitter", "blur"), len(S.CLASSES), ["image_id"])
+    return rounded(P.to_pixels(out, A.PLANES).select("image_id", "row", "col", "g", "p_scar"))
+
+
 @query("crop_first_variant", _steps_sql(_crop_first_sql(23, 6), resample.CROP_FIRST, 6))
 def crop_first_variant(spark, sf):
     """The crop-first variant on every image, as class shares."""
