@@ -26,7 +26,8 @@ def remap(planes: Sequence[np.ndarray], height: int, width: int, positions, meth
         inside = (rows >= 1) & (rows <= h) & (cols >= 1) & (cols <= w)
         r, c = np.clip(rows, 1, h) - 1.0, np.clip(cols, 1, w) - 1.0
         if method == "nearest":
-            at = np.rint(r).astype(int), np.rint(c).astype(int)
+            # halves go to the even position counted from 1
+            at = np.rint(r + 1.0).astype(int) - 1, np.rint(c + 1.0).astype(int) - 1
             for k, p in enumerate(planes):
                 out[k, first:last] = np.where(inside, p[at], fill)
             continue

@@ -169,12 +169,13 @@ def marker_closeup(
             long_side, short_side = second, -first
         w, h = np.hypot(*long_side), np.hypot(*short_side)
         out_h, out_w = max(1, int(round(h))), max(1, int(round(w)))
-        u = long_side / w if w > 0 else np.array([0.0, 1.0])
-        v = short_side / h if h > 0 else np.array([1.0, 0.0])
+        u = long_side / w if w > 1e-9 else np.array([0.0, 1.0])
+        v = short_side / h if h > 1e-9 else np.array([1.0, 0.0])
 
         def at(rows, cols):
             lr, lc = rows - out_h / 2.0, cols - out_w / 2.0
-            return row["centroid_row"] + lc * u[0] + lr * v[0], row["centroid_col"] + lc * u[1] + lr * v[1]
+            src_r, src_c = (row[f"centroid_{n}"] + lc * u[k] + lr * v[k] for k, n in enumerate(("row", "col")))
+            return np.round(src_r, 9), np.round(src_c, 9)
 
         on = raster.remap(stack[-1:], out_h, out_w, at, "nearest", 0.0)
         cut = np.where(on > 0.5, raster.remap(colours, out_h, out_w, at, "bilinear", 0.5), 0.5)

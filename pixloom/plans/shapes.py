@@ -926,9 +926,37 @@ def rotate_any(spark, sf):
     return rounded(P.to_pixels(resample.rotate_any(images, ["r"], 30.0)).drop("height", "width"))
 
 
-@query("marker_closeup")
+_READ = " + ".join(
+    f"l[(r{i} - 1) * 8 + c{j}] * {'fr' if i else '(1 - fr)'} * {'fc' if j else '(1 - fc)'}" for i in (0, 1) for j in (0, 1)
+)
+
+
+@query(
+    "marker_closeup",
+    f"""WITH RECURSIVE {X.PX}, lit AS (SELECT image_id, y, x FROM px WHERE r >= 0.45 AND g >= 0.45 AND b >= 0.45),
+    {_components('lit', _FOUR)}, {_boxes()},
+    early AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY label) AS k FROM box WHERE n >= 3),
+    best AS (SELECT *, width AS p, height AS q FROM early WHERE k <= 20
+      QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, label) = 1),
+    ax2 AS (SELECT image_id, cy, cx, greatest(p, q) AS w, least(p, q) AS h,
+      CASE WHEN p > q THEN [sin(th), cos(th)] WHEN q > 0 THEN [cos(th), -sin(th)] ELSE [0.0, 1.0] END AS u,
+      CASE WHEN p > q AND q > 0 THEN [-cos(th), sin(th)] WHEN p <= q AND p > 0 THEN [-sin(th), -cos(th)] ELSE [1.0, 0.0] END AS v
+      FROM best),
+    dims AS (SELECT *, greatest(1, round_even(h, 0))::INT AS oh, greatest(1, round_even(w, 0))::INT AS ow FROM ax2),
+    cells AS (SELECT *, unnest(range(1, oh * ow + 1)) AS k FROM dims),
+    pos AS (SELECT image_id, oh, ow, cy, cx, u, v, (k - 1) // ow + 1 - oh / 2 AS lr, (k - 1) % ow + 1 - ow / 2 AS lc FROM cells),
+    src AS (SELECT image_id, oh, ow, round(cy + lc * u[1] + lr * v[1], 9) AS sr, round(cx + lc * u[2] + lr * v[2], 9) AS sc FROM pos),
+    lists AS (SELECT image_id, list(r ORDER BY y, x) AS l FROM px GROUP BY image_id),
+    f AS (SELECT src.*, l, sr BETWEEN 1 AND 8 AND sc BETWEEN 1 AND 8 AS inside, greatest(1, least(8, sr)) AS r,
+      greatest(1, least(8, sc)) AS c FROM src JOIN lists USING (image_id)),
+    z AS (SELECT *, floor(r)::INT AS r0, floor(c)::INT AS c0, least(floor(r)::INT + 1, 8) AS r1, least(floor(c)::INT + 1, 8) AS c1,
+      r - floor(r) AS fr, c - floor(c) AS fc, l[((round_even(r, 0) - 1) * 8 + round_even(c, 0))::INT] >= 0.45 AS lit FROM f),
+    seen AS (SELECT image_id, ow, oh, avg(CASE WHEN inside AND lit THEN {_READ} ELSE 0.5 END) AS mean_r FROM z GROUP BY ALL)
+    SELECT i.image_id, coalesce(ow, 100) AS height, coalesce(oh, 100) AS width, {rnd('coalesce(mean_r, 0.5)')} AS mean_r
+    FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN seen USING (image_id)""",
+)
 def marker_closeup(spark, sf):
-    """Rows only: sampled along box axes found by iterative labelling."""
+    """The largest marker of every picture cut out along its box axes."""
     px = X.pixels(spark, sf).select("image_id", "row", "col", "height", "width", "r", "g", "b")
     markers = C.detect_markers(px, 0.45, 0, 3).where("marker = 1")
     on = F.transform("r", lambda v: F.when(v >= 0.45, 1.0).otherwise(0.0))

@@ -175,3 +175,11 @@ def test_circular_mean_of_hues(spark):
     got = {r["k"]: r["m"] for r in df.collect()}
     assert min(got["red"], 360 - got["red"]) < 1e-9 and got["one"] == pytest.approx(200)
     assert got["none"] is None and got["null"] is None
+
+
+def test_nearest_halves_go_to_the_even_position_from_one():
+    from pixloom.functions import raster
+
+    plane = np.arange(1.0, 7.0).reshape(6, 1)
+    out = raster.remap([plane], 4, 1, lambda r, c: (r + 0.5, c), "nearest", 0.0)
+    assert out[0, :, 0].tolist() == [2.0, 2.0, 4.0, 4.0]
