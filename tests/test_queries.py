@@ -17,6 +17,9 @@ QUICK = (
     " visit_ordinal visit_gaps cohort_stats validate_visits upsert_visits rename_plan"
     " pick_source quota random_batch dilate erode contour polygon_mask components oriented_boxes"
     " crop_windows smart_crop grow_patch error_rollup throughput recent_throughput"
+    " custom_metrics controlled_rollup_batch geometric_drawn steps_reordered crop_first_variant"
+    " jitter_and_blur marker_closeup white_region_closed mosaic_components edits_that_meet"
+    " dense_round_trip trials_csv reference_whites histogram_of_range mask_lch_circular shuffled_order"
 ).split()
 NAMES = list(entry.queries()) if os.environ.get("PIXLOOM_ALL") else QUICK
 
