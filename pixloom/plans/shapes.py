@@ -725,7 +725,7 @@ def correspond_spatial(spark, sf):
 @query(
     "correspond_nearest",
     f"""WITH RECURSIVE {_MARKERS}, {_TARGETS},
-    d AS (SELECT mk.image_id, marker, target, sqrt(pow(cy - ty, 2) + pow(cx - tx, 2)) AS d
+    d AS (SELECT mk.image_id, marker, target, round(sqrt(pow(cy - ty, 2) + pow(cx - tx, 2)), 9) AS d
       FROM mk JOIN tg USING (image_id)),
     m1 AS (SELECT image_id, arg_min(target, (d, target)) AS t FROM d WHERE marker = 1 GROUP BY 1),
     m2 AS (SELECT d.image_id, any_value(m1.t) AS t1, arg_min(target, (d, target)) AS t FROM d JOIN m1

@@ -125,6 +125,14 @@ def test_closeup_of_a_level_bar(spark):
     assert plane_of(none, "r").shape == (100, 100)
 
 
+def test_equally_near_targets_go_by_number(spark):
+    markers = spark.createDataFrame(
+        [(1, 1, 7 / 3, 17 / 3)], "image_id int, marker int, centroid_row double, centroid_col double")
+    targets = spark.createDataFrame(
+        [(1, 1, 1.0, 1.0), (1, 2, 7.0, 7.0)], "image_id int, target int, target_row double, target_col double")
+    assert warp.correspond(markers, targets, "nearest").collect()[0]["target"] == 1
+
+
 def test_losses(spark):
     df = spark.createDataFrame(
         [(1, [2.0, 0.0], [1.0, 0.0]), (1, [0.0, 3.0], [1.0, 0.0])],
