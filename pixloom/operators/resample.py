@@ -146,7 +146,7 @@ def marker_closeup(
     mask_plane: str,
     degrees: float = 0.0,
 ) -> DataFrame:
-    """Each image's first marker cut out along its box axes, long side horizontal.
+    """Each image's first marker cut out along its box axes, long side horizontal; of a square, the side across.
 
     ``markers``: (image_id, centroid_row, centroid_col, corners). Positions off
     the image or off the marker mask are grey; an image without a marker gives a
@@ -163,12 +163,13 @@ def marker_closeup(
             return np.full((len(planes) + 1, 100, 100), 0.5)
         c = np.asarray(row["corners"], dtype=float).reshape(4, 2)
         first, second = c[1] - c[0], c[2] - c[1]
-        if np.hypot(*first) > np.hypot(*second):
+        # Compared to nine digits: the sides of a square would otherwise be told apart by noise.
+        if round(np.hypot(*first), 9) > round(np.hypot(*second), 9):
             long_side, short_side = first, -second
         else:
             long_side, short_side = second, -first
         w, h = np.hypot(*long_side), np.hypot(*short_side)
-        out_h, out_w = max(1, int(round(h))), max(1, int(round(w)))
+        out_h, out_w = max(1, int(round(round(h, 9)))), max(1, int(round(round(w, 9))))
         u = long_side / w if w > 1e-9 else np.array([0.0, 1.0])
         v = short_side / h if h > 1e-9 else np.array([1.0, 0.0])
 

@@ -936,7 +936,7 @@ _READ = " + ".join(
     f"""WITH RECURSIVE {X.PX}, lit AS (SELECT image_id, y, x FROM px WHERE r >= 0.45 AND g >= 0.45 AND b >= 0.45),
     {_components('lit', _FOUR)}, {_boxes()},
     early AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY label) AS k FROM box WHERE n >= 3),
-    best AS (SELECT *, width AS p, height AS q FROM early WHERE k <= 20
+    best AS (SELECT *, round(width, 9) AS p, round(height, 9) AS q FROM early WHERE k <= 20
       QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, label) = 1),
     ax2 AS (SELECT image_id, cy, cx, greatest(p, q) AS w, least(p, q) AS h,
       CASE WHEN p > q THEN [sin(th), cos(th)] WHEN q > 0 THEN [cos(th), -sin(th)] ELSE [0.0, 1.0] END AS u,

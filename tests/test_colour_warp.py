@@ -125,6 +125,21 @@ def test_closeup_of_a_level_bar(spark):
     assert plane_of(none, "r").shape == (100, 100)
 
 
+def test_closeup_of_a_square_ignores_the_last_bits_of_its_sides(spark):
+    plane = np.arange(81.0).reshape(9, 9) / 81
+    on = np.ones((9, 9))
+    images = image_frame(spark, {"r": plane, "m": on})
+    u, v = np.array([np.sin(0.7), np.cos(0.7)]), np.array([np.cos(0.7), -np.sin(0.7)])
+    cuts = []
+    for side in (2.0, 2.0 - 1e-12):  # along the axis, once longer and once shorter by noise
+        ring = [5.0 + a * u * side / 2 + b * v for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+        markers = spark.createDataFrame(
+            [(1, 5.0, 5.0, np.concatenate(ring).tolist())],
+            "image_id int, centroid_row double, centroid_col double, corners array<double>")
+        cuts.append(plane_of(resample.marker_closeup(images, markers, ["r"], "m"), "r"))
+    assert np.allclose(cuts[0], cuts[1])
+
+
 def test_equally_near_targets_go_by_number(spark):
     markers = spark.createDataFrame(
         [(1, 1, 7 / 3, 17 / 3)], "image_id int, marker int, centroid_row double, centroid_col double")
