@@ -79,13 +79,34 @@ def _columns(frame: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, n
     return kinds, frame[value].to_numpy(dtype=float), frame["observation_delta"].fillna(0).to_numpy(dtype=np.int64)
 
 
-def _rows(run: str, emitted: Iterator[tuple]) -> Iterator[pd.DataFrame]:
-    for kind, emission, values, positions in emitted:
-        if kind != "item":
-            values, positions = [None], [None]
-        yield pd.DataFrame(
-            {"run_id": run, "kind": kind, "emission": emission, "value": pd.array(values, "Float64"), "observation": pd.array(positions, "Int64")}
-        )
+def _frame(run: str, held: list[tuple]) -> pd.DataFrame:
+    """Emissions and control events as one frame; an event without items is a row without a value."""
+    sizes = [len(values) or 1 for _, _, values, _ in held]
+    values = np.array([v for e in held for v in (e[2] or [np.nan])], dtype=float)
+    positions = np.array([p for e in held for p in (e[3] or [-1])], dtype=np.int64)
+    lacking = np.repeat([not e[2] for e in held], sizes)
+    return pd.DataFrame(
+        {
+            "run_id": run,
+            "kind": np.repeat(np.array([e[0] for e in held], dtype=object), sizes),
+            "emission": np.repeat(np.array([e[1] for e in held], dtype=np.int64), sizes),
+            "value": pd.arrays.FloatingArray(values, np.isnan(values)),
+            "observation": pd.arrays.IntegerArray(positions, lacking),
+        }
+    )
+
+
+def _rows(run: str, emitted: Iterator[tuple], size: int = 1 << 15) -> Iterator[pd.DataFrame]:
+    """Frames of about ``size`` rows, however small an emission is."""
+    held, n = [], 0
+    for event in emitted:
+        held.append(event)
+        n += len(event[2]) or 1
+        if n >= size:
+            yield _frame(run, held)
+            held, n = [], 0
+    if held:
+        yield _frame(run, held)
 
 
 class RollupProcessor(StatefulProcessor):

@@ -205,6 +205,17 @@ def test_stop_of_the_control_run_ends_the_query(spark, tmp_path):
     assert out.where("kind = 'item'").count() == 8 and out.where("kind = 'stop'").count() == 1
 
 
+def test_small_emissions_share_a_frame():
+    n = 5000
+    kinds = np.array(["observation"] * n, dtype=object)
+    kinds[100] = "reset"
+    feed = T.Feed(2, False)
+    frames = list(T._rows("run", feed.take(kinds, np.arange(n, dtype=float), np.ones(n, dtype=np.int64))))
+    assert len(frames) == 1 and (frames[0]["kind"] == "item").sum() == 4998
+    reset = frames[0][frames[0]["kind"] == "reset"]
+    assert len(reset) == 1 and reset["value"].isna().all() and reset["observation"].isna().all()
+
+
 def test_snapshot_is_the_first_item(spark, tmp_path):
     got = replay(spark, [rows_of([2] * 6)], tmp_path, lambda s: T.snapshot_sample(s, 4))
     assert [v for _, _, v in got] == [1.0, 3.0, 5.0]
