@@ -22,6 +22,19 @@ def _stream(spark, sf):
     return X.telemetry(source)
 
 
+def _ordered(spark, rows, *more):
+    """Telemetry as a stream of files in the order of time, those of ``more`` behind them."""
+    path = scratch_path(spark, "telemetry")
+    T.write_in_order(rows, path, least=3)
+    for later in more:
+        T.write_in_order(later, path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _observations(spark, sf):
+    return _ordered(spark, X.telemetry(X.table(spark, sf, "events")))
+
+
 def _drain(spark, stream, name):
     path = scratch_path(spark, name)
     return T.run_to_table(stream, f"{path}/out", f"{path}/state")
@@ -37,7 +50,7 @@ def _rollup_sql(value: str, limit: int) -> str:
 
 @query("error_rollup", _rollup_sql("value", 64))
 def error_rollup(spark, sf):
-    return rounded(_drain(spark, T.error_rollup(_stream(spark, sf), 64), "error"))
+    return rounded(_drain(spark, T.error_rollup(_observations(spark, sf), 64), "error"))
 
 
 @query("performance_rollup", _rollup_sql("value * 10.0", 100))

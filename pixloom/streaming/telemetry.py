@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pixloom.operators.scale import blocked_rank
+from pixloom.session import remove, scratch_path
 
 TELEMETRY_SCHEMA = (
     "run_id string, ts timestamp, kind string, error double,"
@@ -26,6 +28,7 @@ TELEMETRY_SCHEMA = (
 )
 _OUT = "run_id string, kind string, emission bigint, value double, observation bigint"
 _ITEM = ["run_id", "emission", "value", "observation"]
+FILE_ROWS = 1 << 21  # of a file that is one micro-batch
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -123,8 +126,9 @@ class RollupProcessor(StatefulProcessor):
         buffered = list(self.items.get()) if self.items.exists() else []
         counters = self.counters.get() if self.counters.exists() else None
         feed = Feed(self.limit, self.first_only, counters, (v for v, _ in buffered), (p for _, p in buffered))
-        for frame in rows:  # as they come: what is held is one frame and the buffered items
-            yield from _rows(key[0], feed.take(*_columns(frame.sort_values(["ts", "seq"], kind="stable"), self.value)))
+        # frames come in any order, as the shuffle delivers them; a micro-batch is bounded by its files
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+        yield from _rows(key[0], feed.take(*_columns(frame, self.value)))
         self.counters.update(feed.counters())
         if feed.values:
             self.items.put(list(zip(feed.values, feed.positions, strict=True)))
@@ -138,11 +142,13 @@ class RollupProcessor(StatefulProcessor):
 def rollup(stream: DataFrame, limit: int, value: str, first_only: bool = False) -> DataFrame:
     """Emitted items (``kind`` item) and the control events that were met (reset, stop), per run.
 
-    A micro-batch's rows of a run are taken in the order in which they arrive, so they should come from
-    one ordered partition or file; within a frame they are ordered by time and seq.
+    A micro-batch's rows of a run are put in order by time and seq, wherever they come from; micro-batches
+    are taken as they come, so a source that is larger than one should hold its rows in that order
+    (``write_in_order``). What a task holds is its run's rows of one micro-batch and the buffered items.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy("run_id").transformWithStateInPandas(
+    needed = stream.select("run_id", "ts", "seq", "kind", value, "observation_delta")
+    return needed.groupBy("run_id").transformWithStateInPandas(
         RollupProcessor(limit, value, first_only), _OUT, outputMode="Append", timeMode="None"
     )
 
@@ -186,6 +192,28 @@ def rollup_batch(events: DataFrame, limit: int, value: str, first_only: bool = F
     return _items(dealt.mapInPandas(run, _OUT))
 
 
+def write_in_order(rows: DataFrame, path: str, least: int = 1, size: int = FILE_ROWS) -> None:
+    """Append rows to a stream's folder, as files of about ``size`` rows that follow each other in time.
+
+    The files are cut at quantiles of the time and written one after the other, as a stream reads files by
+    their age; there are at least ``least``, unless the rows have fewer times. Rows of one time share a file.
+    """
+    at = F.unix_micros("ts")
+    parts = max(least, -(-rows.count() // size))
+    cuts, last = rows.agg(
+        F.percentile_approx(at, [k / parts for k in range(1, parts + 1)], F.lit(10000)), F.max(at)
+    ).first()
+    cuts = sorted({c for c in cuts or [] if c < last})
+    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
+    part = F.when(at.isNull(), len(cuts)).otherwise(F.size(F.filter(bounds, lambda c: c < at)))
+    dealt, folder = rows.withColumn("__part", part), scratch_path(rows.sparkSession, "ordered")
+    dealt.write.partitionBy("__part").parquet(folder)
+    staged = rows.sparkSession.read.schema(dealt.schema).parquet(folder)
+    for k in range(len(cuts) + 1):
+        staged.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(path)
+    remove(rows.sparkSession, folder)
+
+
 def run_until_stop(
     rolled: DataFrame, path: str, checkpoint: str, control: str, poll: float = 0.2
 ) -> StreamingQuery:
@@ -209,7 +237,11 @@ def run_until_stop(
         rolled.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     while query.isActive and not ended.is_set():
-        query.awaitTermination(poll)
+        try:
+            query.awaitTermination(poll)
+        except StreamingQueryException:  # a batch behind the stop event is refused for being left unhandled
+            if not ended.is_set():
+                raise
     if ended.is_set():
         query.stop()
     elif query.exception() is not None:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,7 @@ def rows_of(deltas, kind="observation"):
     return [("run", k, kind, float(k), 10.0 * k, d, k) for k, d in enumerate(deltas, start=1)]
 
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = ("run_id string, sec long, kind string, error double, absolute_performance double,"
           " observation_delta long, seq long")
 
@@ -205,6 +207,37 @@ def test_stop_of_the_control_run_ends_the_query(spark, tmp_path):
     assert out.where("kind = 'item'").count() == 8 and out.where("kind = 'stop'").count() == 1
 
 
+@pytest.mark.parametrize("name", ["error_rollup", "performance_rollup", "snapshot_sample", "controlled_rollup"])
+def test_rollups_follow_time_wherever_the_rows_lie(spark, tmp_path, name):
+    import __spark_entry__ as entry
+    from compare import TABLES, compare, connect
+
+    for table in TABLES:
+        (tmp_path / f"{table}.parquet").symlink_to(f"{SF}/{table}.parquet")
+    (tmp_path / "events.parquet").unlink()
+    events = pd.read_parquet(f"{SF}/events.parquet").sample(frac=1.0, random_state=3)
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    events.to_parquet(tmp_path / "events.parquet", row_group_size=100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        con = connect(str(tmp_path))
+        assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path)) is None
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_files_in_order_of_time(spark, tmp_path):
+    rows = rows_of([1] * 500)
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("sec")).repartition(7)
+    T.write_in_order(frame, str(tmp_path / "in"), size=120)
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    seconds = [pd.read_parquet(f)["sec"] for f in files]
+    assert sum(len(s) for s in seconds) == 500 and len(files) == 5
+    assert all(a.max() < b.min() for a, b in zip(seconds, seconds[1:]))
+    T.write_in_order(frame.limit(0), str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
 def test_small_emissions_share_a_frame():
     n = 5000
     kinds = np.array(["observation"] * n, dtype=object)
