@@ -55,7 +55,7 @@ def error_rollup(spark, sf):
 
 @query("performance_rollup", _rollup_sql("value * 10.0", 100))
 def performance_rollup(spark, sf):
-    return rounded(_drain(spark, T.performance_rollup(_stream(spark, sf), 100), "performance"))
+    return rounded(_drain(spark, T.performance_rollup(_observations(spark, sf), 100), "performance"))
 
 
 @query(
