@@ -64,7 +64,7 @@ def performance_rollup(spark, sf):
     " WHERE (observation - 1) % 50 = 0",
 )
 def snapshot_sample(spark, sf):
-    return rounded(_drain(spark, T.snapshot_sample(_stream(spark, sf), 50), "snapshot"))
+    return rounded(_drain(spark, T.snapshot_sample(_observations(spark, sf), 50), "snapshot"))
 
 
 @query("error_rollup_batch", _rollup_sql("value", 64))
