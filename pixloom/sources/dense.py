@@ -73,8 +73,20 @@ class Strips(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
-    sizes: list[tuple[int, int, int, int]]
+    """What a task has written, in sixteen bytes a file: names follow from the attempt and the id."""
+
+    attempt: str
+    sizes: bytes  # rows of image, height, width, channels
+
+    def files(self, root: str) -> Iterator[tuple[str, str, list[int]]]:
+        """(temporary name, name, [image, height, width, channels]) of every file."""
+        for image, *size in np.frombuffer(self.sizes, np.int32).reshape(-1, 4).tolist():
+            yield temporary(root, self.attempt, image), f"{root}/image_{image:03d}.bin", [image, *size]
+
+
+def temporary(root: str, attempt: str, image: int) -> str:
+    """A name of one attempt alone; only committed attempts are renamed."""
+    return f"{root}/.part-{attempt}-{image}"
 
 
 class DenseReader(DataSourceReader):
@@ -152,7 +164,7 @@ class DenseWriter(DataSourceWriter):
     def write(self, rows) -> Written:
         store, root = _folder(self.path)
         store.create_dir(root, recursive=True)
-        kind, files, sizes = np.dtype(self.dtype), [], []
+        kind, attempt, sizes = np.dtype(self.dtype), uuid.uuid4().hex, []
         image, stream, seen = None, None, set()
         height = channels = width = 0
 
@@ -168,10 +180,7 @@ class DenseWriter(DataSourceWriter):
                     raise ValueError(f"columns of image {row.image_id} do not stand together")
                 seen.add(row.image_id)
                 image, height, channels, width = row.image_id, row.height, 1, 0
-                # a name of this attempt alone; only committed attempts are renamed
-                temporary = f"{root}/.part-{uuid.uuid4().hex}"
-                files.append((temporary, f"{root}/image_{image:03d}.bin"))
-                stream, expected = store.open_output_stream(temporary), (1, 1)
+                stream, expected = store.open_output_stream(temporary(root, attempt, image)), (1, 1)
             if row.channel == channels + 1 and row.col == 1:
                 channels, expected = row.channel, (row.channel, 1)
             if (row.channel, row.col) != expected or len(row.pixels) != height:
@@ -183,7 +192,7 @@ class DenseWriter(DataSourceWriter):
             width, expected = max(width, row.col), (row.channel, row.col + 1)
         if image is not None:
             done()
-        return Written(files, sizes)
+        return Written(attempt, np.array(sizes, np.int32).tobytes())
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = _folder(self.path)
@@ -193,17 +202,17 @@ class DenseWriter(DataSourceWriter):
             with store.open_input_stream(f"{root}/{META}") as f:
                 sizes = json.loads(f.read())
         for message in filter(None, messages):
-            for temporary, name in message.files:
-                store.move(temporary, name)
-            sizes |= {str(i): [h, w, c] for i, h, w, c in message.sizes}
+            for written, name, (image, *size) in message.files(root):
+                store.move(written, name)
+                sizes[str(image)] = size
         with store.open_output_stream(f"{root}/{META}") as f:
             f.write(json.dumps(sizes).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, _ = _folder(self.path)
+        store, root = _folder(self.path)
         for message in filter(None, messages):
-            for temporary, _ in message.files:
-                store.delete_file(temporary)
+            for written, _, _ in message.files(root):
+                store.delete_file(written)
 
 
 class DenseDataSource(DataSource):

@@ -29,6 +29,7 @@ TELEMETRY_SCHEMA = (
 _OUT = "run_id string, kind string, emission bigint, value double, observation bigint"
 _ITEM = ["run_id", "emission", "value", "observation"]
 FILE_ROWS = 1 << 21  # of a file that is one micro-batch
+LISTERS = 16  # tasks that look up the files of a micro-batch
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -374,7 +375,9 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
 def ingest_stream(spark: SparkSession, root: str, ext: str = "png", per_trigger: int = 64):
     """New image files, each once: the query's checkpoint remembers the files it has seen,
-    so no growing deduplication state is kept."""
+    so no growing deduplication state is kept. Spark looks up a batch's files in tasks, by default one for each,
+    whose reports to the driver are larger than what they found; a few tasks take them together."""
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", LISTERS)
     return (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")

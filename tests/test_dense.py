@@ -1,9 +1,12 @@
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import pixel_frame
 from pixloom.sources import dense
+from pixloom.streaming import telemetry
 
 
 def frame(spark, sizes, rng):
@@ -56,3 +59,33 @@ def test_floats_and_missing_columns(spark, tmp_path):
     assert all(got[r["row"], r["col"]] == np.float32(r["r"]) for r in px.collect())
     with pytest.raises(Exception, match="missing, double or too short"):
         dense.write_dense(px.where(F.col("col") != 2), str(tmp_path / "g"), ("r",))
+
+
+def test_a_commit_message_takes_sixteen_bytes_a_file(tmp_path):
+    from pyspark.sql import Row
+
+    rows = [Row(image_id=i, channel=1, col=1, height=2, pixels=[0.0, 1.0]) for i in range(1, 501)]
+    writer = dense.DenseWriter(str(tmp_path), "uint8")
+    message = writer.write(iter(rows))
+    assert len(pickle.dumps(message)) < 500 * 16 + 300
+    writer.commit([message, None])
+    assert len(list(tmp_path.glob("image_*.bin"))) == 500 and not list(tmp_path.glob(".part*"))
+    again = writer.write(iter(rows[:3]))
+    assert len(list(tmp_path.glob(".part*"))) == 3
+    writer.abort([again])
+    assert not list(tmp_path.glob(".part*"))
+
+
+def test_files_of_a_batch_are_looked_up_by_few_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(1, 61):
+        (tmp_path / "in" / f"image_{i:03d}.bin").write_bytes(b"x" * i)
+    files = telemetry.ingest_stream(spark, str(tmp_path / "in"), "bin", 1000).select("path", "length")
+    query = files.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+    query = query.trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    jobs = tracker.getJobIdsForGroup(str(query.runId))
+    stages = [tracker.getStageInfo(s) for j in jobs for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= telemetry.LISTERS
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
