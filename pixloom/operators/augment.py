@@ -450,34 +450,23 @@ def _candidates(spark: SparkSession, plan: Mapping[str, tuple[int, int]]) -> Dat
 
 
 def sample_pixels(
-    lineage: DataFrame, images: DataFrame, post: bool, binary: int = len(S.CLASSES)
+    lineage: DataFrame, images: DataFrame, post: bool, binary: int = len(S.CLASSES), planes: Sequence[str] = PLANES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Pixels of the intermediate sample of each lineage row: crop, geometry, post effects.
 
-    Geometry and effects run in one Arrow pass over the joined rows.
+    Geometry and effects run in one Arrow pass over the joined rows. Who judges masks only asks for their
+    ``planes``; the last ``binary`` are masks. Columns of the lineage to ``keep`` follow every pixel.
     """
-    planes = list(PLANES)
+    planes, ids = list(planes), ["sample_id", "target_class", *keep]
     drawn = [c for c in lineage.columns if c not in planes]
-    source = images.withColumnRenamed("image_id", "source_index")
+    source = images.select(F.col("image_id").alias("source_index"), "height", "width", *planes)
     joined = lineage.join(source, "source_index")
     cropped = resample.crop(joined, planes, drawn)
     steps = resample.GEOMETRY + (resample.POST if post else ())
-    made = resample.apply_steps(cropped, planes, steps, binary, ["sample_id", "target_class"])
-    pixels = to_pixels(
-        made.select(
-            F.struct("sample_id", "target_class").alias("image_id"), "height", "width", *planes
-        ),
-        planes,
-    )
-    return pixels.select(
-        F.col("image_id.sample_id").alias("sample_id"),
-        F.col("image_id.target_class").alias("target_class"),
-        "row",
-        "col",
-        "height",
-        "width",
-        *planes,
-    )
+    made = resample.apply_steps(cropped, planes, steps, binary, ids)
+    pixels = to_pixels(made.select(F.struct(*ids).alias("image_id"), "height", "width", *planes), planes)
+    return pixels.select(*[F.col(f"image_id.{c}").alias(c) for c in ids], "row", "col", "height", "width", *planes)
 
 
 def balanced_dataset(
@@ -644,8 +633,9 @@ def class_cycle_dataset(
     """Older sampler: classes follow a 15-slot cycle, sources are uniform.
 
     A sample needs class / (class + background) of at least ``minimum_share`` in
-    its patch; each slot takes its lowest passing attempt, and rounds go on until
-    every slot is filled. ``patience`` rounds in a row without any passing attempt
+    its patch; each slot takes its lowest passing attempt, and rounds of one, two, four
+    and so on up to ``tries`` attempts go on until every slot is filled, so that few are made in
+    vain. ``patience`` times ``tries`` attempts of every slot in a row, none of which passes,
     are an error. Returns (lineage with one row per index, number of attempts a slot had at most).
     """
     spark = images.sparkSession
@@ -661,12 +651,12 @@ def class_cycle_dataset(
     sources = cut_lineage(sources)
     n_sources = sources.count()
     todo = spark.range(length).withColumnRenamed("id", "index")
-    parts, first, idle = [], 0, 0
+    parts, first, idle, batch = [], 0, 0, 1
     while not todo.isEmpty():
-        if idle == patience or not n_sources:
+        if idle >= patience * tries or not n_sources:
             raise RuntimeError(f"no source fills the {todo.count()} slots left")
         attempts = (
-            todo.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))))
+            todo.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + batch - 1))))
             .withColumn("target_class", cycle_class(F.col("index"), seed))
             .withColumn("sample_id", F.concat_ws("-", F.col("index"), F.col("attempt")))
             .withColumn("place", draw_index(seed, "source", n_sources, F.col("sample_id")) + 1)
@@ -692,7 +682,7 @@ def class_cycle_dataset(
             }
         ).drop("height", "width")
         framed = cut_lineage(framed)
-        made = sample_pixels(framed, images, post=False)
+        made = sample_pixels(framed, images, post=False, planes=S.P_COLUMNS)
         top = lambda s, n: F.floor((F.col(s) - n) / 2)
         patch = made.where(
             F.col("row").between(top("height", size[0]) + 1, top("height", size[0]) + size[0])
@@ -709,10 +699,10 @@ def class_cycle_dataset(
             .agg(F.min_by(F.struct(*fields), "attempt").alias("s"))
             .select("index", "s.*")
         )
-        idle = idle + 1 if winners.isEmpty() else 0
+        idle = idle + batch if winners.isEmpty() else 0
         parts.append(winners)
         todo = cut_lineage(todo.join(winners.select("index"), "index", "left_anti"))
-        first += tries
+        first, batch = first + batch, min(2 * batch, tries)
     if not parts:
         raise ValueError("length must be positive")
     out = parts[0]

@@ -57,10 +57,11 @@ def map_images(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, size = [], 0
-            for i in range(batch.num_rows):
-                row = batch.select(numbers).slice(i, 1).to_pylist()[0]
+            flat = [batch.column(p).values.to_numpy(zero_copy_only=False) for p in planes]
+            ends = [batch.column(p).offsets.to_numpy() for p in planes]
+            for i, row in enumerate(batch.select(numbers).to_pylist()):
                 shape = int(row["height"]), int(row["width"])
-                views = [batch.column(p)[i].values.to_numpy(zero_copy_only=False).reshape(shape) for p in planes]
+                views = [v[e[i] : e[i + 1]].reshape(shape) for v, e in zip(flat, ends, strict=True)]
                 result = change(views, row)
                 if result is not None:
                     made.append((i, result))

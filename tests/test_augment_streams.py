@@ -109,6 +109,19 @@ def test_growth_states(spark):
     assert got["tiny"]["status"] == "too_small"
 
 
+def test_class_cycle_takes_the_lowest_passing_attempt_and_few_more(spark):
+    images = image_frame(spark, {**planes(3), "p_scar": np.full((12, 14), 0.6)}).withColumn("image_id", F.lit(1).cast("long"))
+    even = images.withColumns({f"p_{c}": F.col("p_scar") for c in S.CLASSES})
+    out, most = A.class_cycle_dataset(even, 6, 3, (4, 4))
+    assert most == 1 and out.count() == 6
+    mixed = image_frame(spark, planes(3)).withColumn("image_id", F.lit(1).cast("long"))
+    found = []
+    for tries in (2, 8):
+        out, most = A.class_cycle_dataset(mixed, 15, 5, (3, 3), minimum_share=0.5, tries=tries)
+        found.append(sorted((r["index"], r["attempt"]) for r in out.select("index", "attempt").collect()))
+    assert found[0] == found[1] and max(a for _, a in found[0]) > 0
+
+
 def test_grid_and_scaling(spark, tmp_path):
     lists = spark.createDataFrame([([1.0, 2.0], [5.0, 7.0, 9.0], [4.0])],
                                   "a array<double>, b array<double>, c array<double>")
