@@ -359,7 +359,7 @@ def grow_patch(
 ) -> DataFrame:
     """Smallest centred patch whose foreground share is within the class limit.
 
-    All sizes are summed in one grouping. Without a passing size the largest that
+    All sizes are summed in one pass. Without a passing size the largest that
     fits is kept; an image too small for the first size gets ``status`` too_small.
     """
     thresholds = FG_THRESHOLDS if thresholds is None else thresholds
@@ -374,28 +374,26 @@ def grow_patch(
         & F.col("col").between(top(w, bw * m) + 1, top(w, bw * m) + bw * m)
     )
     fg = sum(F.col(S.p_col(c)) for c in S.FOREGROUND_CLASSES)
+    n = F.nullif(F.count_if(inside), F.lit(0))
+    share = lambda v: F.sum(F.when(inside, v)) / n * 100.0
+    # Pixels outside are summed as nothing, not filtered: a sample that no size fits keeps its row.
     sizes = (
         pixels.withColumn("m", F.explode(tried))
-        .where(inside)
         .groupBy(*keys, "m")
         .agg(
-            (F.sum(fg) / F.count(F.lit(1)) * 100.0).alias("fg"),
-            *[
-                (F.sum(S.p_col(c)) / F.count(F.lit(1)) * 100.0).alias(f"{c}_percentage")
-                for c in S.CLASSES
-            ],
+            n.alias("__n"),
+            share(fg).alias("fg"),
+            *[share(F.col(S.p_col(c))).alias(f"{c}_percentage") for c in S.CLASSES],
         )
     )
     limit = class_value(thresholds, F.col("target_class"), OTHER_FG_THRESHOLD)
-    passing = F.col("fg") <= limit
+    fits, passing = F.col("__n") > 0, F.col("fg") <= limit
     shape = F.struct("m", "fg", *[f"{c}_percentage" for c in S.CLASSES])
     picked = sizes.groupBy(*keys).agg(
-        F.min_by(shape, F.when(passing, F.col("m"))).alias("first"),
-        F.max_by(shape, "m").alias("largest"),
+        F.min_by(shape, F.when(fits & passing, F.col("m"))).alias("first"),
+        F.max_by(shape, F.when(fits, F.col("m"))).alias("largest"),
     )
-    chosen = F.coalesce("first", "largest")
-    frame = pixels.select(*keys).distinct()
-    out = frame.join(picked.withColumn("c", chosen), list(keys), "left")
+    out = picked.withColumn("c", F.coalesce("first", "largest"))
     multiplier = F.coalesce(F.col("c.m"), F.lit(1))
     ran_out = F.col("first").isNull() & (multiplier < max_multiplier)
     return out.select(
@@ -515,7 +513,7 @@ def balanced_dataset(
         drawn = draw_parameters(picked, seed, ["sample_id"], window, base)
         framed = cut_lineage(smart_crop(index, drawn, window, seed))
         grown = grow_patch(
-            sample_pixels(framed, images, post=False), base, max_multiplier, thresholds
+            sample_pixels(framed, images, post=False, planes=S.P_COLUMNS), base, max_multiplier, thresholds
         )
         judged = cut_lineage(
             quality_gate(framed.join(grown, ["sample_id", "target_class"]), profile)
@@ -590,19 +588,16 @@ def render_samples(lineage: DataFrame, images: DataFrame) -> DataFrame:
             "crop_h": F.col("smart_crop_height"),
         }
     )
-    pixels = sample_pixels(renamed, images, post=True)
-    frame = lineage.select(
-        "sample_id", "final_crop_y_start", "final_crop_x_start", "patch_height", "patch_width"
-    )
+    frame = ["final_crop_y_start", "final_crop_x_start", "patch_height", "patch_width"]
+    pixels = sample_pixels(renamed, images, post=True, keep=frame)
     r = F.col("row") - F.col("final_crop_y_start") + 1
     c = F.col("col") - F.col("final_crop_x_start") + 1
     inside = r.between(1, F.col("patch_height")) & c.between(1, F.col("patch_width"))
     return (
-        pixels.join(frame, "sample_id")
-        .where(inside)
+        pixels.where(inside)
         .withColumns({"row": r.cast("int"), "col": c.cast("int")})
         .withColumns({"height": F.col("patch_height"), "width": F.col("patch_width")})
-        .drop("final_crop_y_start", "final_crop_x_start", "patch_height", "patch_width")
+        .drop(*frame)
     )
 
 

@@ -109,6 +109,16 @@ def test_growth_states(spark):
     assert got["tiny"]["status"] == "too_small"
 
 
+def test_growing_a_patch_reads_the_samples_once(spark):
+    p = {f"p_{c}": np.full((4, 4), 0.2) for c in S.CLASSES}
+    px = pixel_frame(spark, p).withColumns({"sample_id": F.lit("a"), "target_class": F.lit("scar")})
+    made = px.mapInArrow(lambda batches: batches, px.schema)  # stands for the resampling
+    grown = A.grow_patch(made, (2, 2), 3)
+    assert grown.first()["status"] == "ok"
+    plan = grown._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("MapInArrow") == 1
+
+
 def test_class_cycle_takes_the_lowest_passing_attempt_and_few_more(spark):
     images = image_frame(spark, {**planes(3), "p_scar": np.full((12, 14), 0.6)}).withColumn("image_id", F.lit(1).cast("long"))
     even = images.withColumns({f"p_{c}": F.col("p_scar") for c in S.CLASSES})
