@@ -9,9 +9,9 @@ empty segment, and, should those not suffice, under its least elements. The slac
 allocated by cost: indexed segments against the expected number of neighbourhoods. Candidates are
 verified on the texts.
 
-Sets that share a segment are first compared with one of them only, the set with most shared
-segments; what that leaves in different components is compared in a second pass. Equal sets of one
-batch stand for each other.
+Segments shared by the same sets become one. Sets that share a segment are first compared with one of
+them only, the set with most shared segments; what that leaves in different components is compared in
+a second pass. Equal sets of one batch stand for each other.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pixloom.llm.window_dedup import LEAST_CELLS, MOST_CELLS, Sketch, merge_coun
 
 SHINGLE, PERCENT = 4, 85
 BAND_RATIO = 1.4
-PARITY = ("p0", "p1", "p2", "p3")  # 256 parities in four whole numbers
+PARITY = tuple(f"p{i}" for i in range(8))  # 512 parities in eight whole numbers
 INFO = "doc long, n long, s1 long, s2 long, bits binary, " + ", ".join(f"{p} long" for p in PARITY)
 
 
@@ -67,6 +67,14 @@ def allocate(differ: int, size: float) -> tuple[int, int]:
     return best[1:]
 
 
+def by_row(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """The order by row, then by value; equal ones may stand in any order."""
+    if rows > 1 << 16:
+        return np.lexsort((value, row))
+    order = np.argsort(value)
+    return order[np.argsort(row[order].astype(np.uint16), kind="stable")]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of consecutive texts, and how many each text has."""
     words = Words(data, offsets, BLANK_SPLIT, LOWER_VALUES)
@@ -76,7 +84,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     short = seq.of(words.bounds[few], words.bounds[few + 1]) if len(few) else np.zeros(0, U)
     text = np.concatenate([words.text[at], few])
     value = np.concatenate([hashes[at], short])
-    order = np.lexsort((value, text))
+    order = by_row(text, value, len(offsets) - 1)
     text, value = text[order], value[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
@@ -114,7 +122,7 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
     segment = (spread % m[entry].astype(U)).astype(np.int64)
     at = base[entry] + segment
     used = np.flatnonzero(segment < need[entry])
-    order = used[np.argsort(at[used], kind="stable")]
+    order = used[np.argsort(at[used])]
     ordered = at[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
     filled, held = ordered[first], np.diff(np.append(first, len(ordered)))
@@ -147,10 +155,10 @@ def parity(values: np.ndarray, size: int) -> bytes:
 
 
 def short_parity(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The parities of each set in 256 bits, as rows of four whole numbers."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    cell = (mix(values + U(5)) & U(255)).astype(np.int64)
-    odd = np.bincount(row * 256 + cell, minlength=len(sizes) * 256).reshape(-1, 256) & 1
+    """The parities of each set, as rows of as many whole numbers as PARITY has."""
+    row, cells = np.repeat(np.arange(len(sizes)), sizes), 64 * len(PARITY)
+    cell = (mix(values + U(5)) & U(cells - 1)).astype(np.int64)
+    odd = np.bincount(row * cells + cell, minlength=len(sizes) * cells).reshape(-1, cells) & 1
     return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
 
 
@@ -175,7 +183,7 @@ def similar(texts_a, texts_b, shingle: int, percent: int) -> np.ndarray:
         vb, nb = shingle_sets(db[ob[a] : ob[b]], ob[a : b + 1] - ob[a], shingle)
         row = np.concatenate([np.repeat(np.arange(b - a), na), np.repeat(np.arange(b - a), nb)])
         value = np.concatenate([va, vb])
-        order = np.lexsort((value, row))
+        order = by_row(row, value, b - a)
         row, value = row[order], value[order]
         twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
         shared = np.bincount(row[1:][twice], minlength=b - a)
@@ -273,8 +281,11 @@ def pairs_of(texts: DataFrame, info: DataFrame, one: DataFrame, shingle: int, pe
     total = info.agg(F.sum("n")).first()[0] or 0
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(total).bit_length() - 1 if total else 0))
     rows = saved(index_rows(texts, shingle, percent, cells), "rows")
-    often = rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
-    shared = saved(rows.join(often, "key"), "index")
+    # keys of the same documents become one, named by these; should two names be equal, more is compared in vain
+    same = F.bit_xor(F.xxhash64("doc")).alias("same")
+    often = rows.groupBy("key").agg(F.count("*").alias("met"), F.min("doc").alias("low"), F.max("doc").alias("high"), same)
+    often = often.where("low < high").select("key", "met", F.xxhash64("met", "low", "high", "same").alias("group"))
+    shared = saved(rows.join(often, "key").select(F.col("group").alias("key"), "doc", "met").distinct(), "index")
     weight = shared.groupBy("doc").agg(F.sum("met").alias("weight"))
     members = saved(shared.select("key", "doc").join(weight.join(one.select("doc", "n"), "doc"), "doc"), "members")
     # texts of the sets that share a segment with another

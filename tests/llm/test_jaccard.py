@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 
 from cases import awkward, by_id, clashing, documents, prose
+from pixloom.llm import jaccard
 from pixloom.llm.connect import components
+from pixloom.llm.frame import saved
 from pixloom.llm.jaccard import bands, differing, jaccard_components, keep_one, op7_jaccard_join, parity, shingle_sets, signatures
 from pixloom.llm.text import joined
 
@@ -141,3 +143,20 @@ def test_query(spark):
     want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
     got = by_id(op7_jaccard_join(spark, sf))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+
+
+def test_segments_of_the_same_sets_become_one(spark, monkeypatch):
+    """Texts that share most segments and do not link are compared once, not once a segment."""
+    words = prose(600, 21, vocabulary=100_000).split()
+    texts = [" ".join([*words[:500], *(f"other{i}x{k}" for k in range(100))]) for i in range(2)]
+    written = {}
+
+    def counted(df, name):
+        out = saved(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", counted)
+    rows = jaccard.jaccard_components(documents(spark, texts)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (1, 1)]
+    assert 0 < written["index"] <= 2 and written["members"] <= 2
